@@ -11,12 +11,13 @@ left by all earlier ones. Three facts let Spark do nearly all of it in parallel:
   moment. It follows from when each position of each template turned wild, by a
   join, without replaying anything.
 
-Order is a place in the stream, ``at``: epoch, order number, pattern. The epoch is
-0 in batch work and the micro-batch number in streams.
+Order is a place in the stream, ``at``: epoch, order number, and a hash of the
+pattern for equal numbers. The epoch is 0 in batch work and the micro-batch number
+in streams.
 
-A book of templates has the columns ``leaf, template_no, at, wild``: the place and
-pattern that created the template, and for each position that has since turned
-wild, the place where it did.
+A book of templates has the columns ``leaf, template_no, pattern, template, steps,
+wild``: the founding pattern, the template text by now, the places where it was
+founded and generalised, and per position the step at which it turned wild.
 """
 
 from __future__ import annotations
@@ -41,8 +42,11 @@ MAX_CHILDREN = 100
 # Patterns of one leaf replayed by one task before the rest is filtered again.
 REPLAY_CHUNK = 100_000
 
-_AT = "struct<epoch: bigint, ord: bigint, pattern: string>"
-BOOK_SCHEMA = f"leaf string, template_no int, at {_AT}, wild array<struct<pos: int, at: {_AT}>>"
+_AT = "struct<epoch: bigint, ord: bigint, tie: bigint>"
+BOOK_SCHEMA = (
+    "leaf string, template_no int, pattern string, template string, "
+    f"steps array<{_AT}>, wild array<int>"
+)
 
 
 def order_number(column: str, df: DataFrame) -> Column:
@@ -70,7 +74,9 @@ def pattern_counts(
 
 def _at(epoch: Column, order: Column) -> Column:
     return F.struct(
-        epoch.cast("bigint").alias("epoch"), order.alias("ord"), F.col("pattern").alias("pattern")
+        epoch.cast("bigint").alias("epoch"),
+        order.alias("ord"),
+        F.xxhash64("pattern").alias("tie"),
     )
 
 
@@ -179,14 +185,9 @@ class _Leaf:
         if not self.texts[mask]:
             del self.texts[mask]
 
-    def add(self, at: dict, wild: Iterable[dict] = ()) -> None:
-        tokens = at["pattern"].split()
-        for w in wild:
-            tokens[w["pos"]] = WILDCARD
-        self.rows.append(
-            {"leaf": self.name, "template_no": len(self.rows), "at": at, "wild": list(wild)}
-        )
-        self.tokens.append(tokens)
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        self.tokens.append(row["template"].split())
         self._note(len(self.rows) - 1)
 
     def covered(self, tokens: list[str]) -> bool:
@@ -198,26 +199,32 @@ class _Leaf:
                 return True
         return False
 
-    def see(self, at: dict, threshold: float) -> None:
+    def see(self, pattern: str, at: dict, threshold: float) -> None:
         """A pattern: covered, or generalises its nearest template, or founds one."""
-        tokens = at["pattern"].split()
+        tokens = pattern.split()
         if self.covered(tokens):
             return
         if self.rows and tokens:
-            codes = np.array([self.codes.get(t, -2) for t in tokens])
+            codes = np.array([self.codes.get(t, -1) for t in tokens])
             used = self.matrix[: len(self.rows)]
             agreeing = ((used == 0) | (used == codes)).sum(axis=1)
             nearest = int(agreeing.argmax())
             if agreeing[nearest] / len(tokens) >= threshold:
-                template = self.tokens[nearest]
-                self._forget(nearest)
-                for i, (t, m) in enumerate(zip(template, tokens, strict=True)):
-                    if t != m and t != WILDCARD:
-                        template[i] = WILDCARD
-                        self.rows[nearest]["wild"].append({"pos": i, "at": at})
-                self._note(nearest)
+                self._generalise(nearest, tokens, at)
                 return
-        self.add(at)
+        row = {"leaf": self.name, "template_no": len(self.rows), "pattern": pattern}
+        self.add({**row, "template": pattern, "steps": [at], "wild": [None] * len(tokens)})
+
+    def _generalise(self, no: int, tokens: list[str], at: dict) -> None:
+        self._forget(no)
+        row, template = self.rows[no], self.tokens[no]
+        for i, token in enumerate(tokens):
+            if template[i] not in (token, WILDCARD):
+                template[i] = WILDCARD
+                row["wild"][i] = len(row["steps"])
+        row["steps"].append(at)
+        row["template"] = " ".join(template)
+        self._note(no)
 
 
 def _replay(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Schema):
@@ -231,10 +238,11 @@ def _replay(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Sche
             if leaf is None or row["leaf"] != leaf.name:
                 done += leaf.rows if leaf else []
                 leaf = _Leaf(row["leaf"])
+            at = row.pop("at")
             if row["template_no"] is not None:
-                leaf.add(row["at"], row["wild"])
+                leaf.add(row)
             else:
-                leaf.see(row["at"], threshold)
+                leaf.see(row["pattern"], at, threshold)
         if done:
             yield pa.RecordBatch.from_pylist(done, schema)
             done = []
@@ -247,32 +255,15 @@ def _replayed(book: DataFrame, patterns: DataFrame, threshold: float) -> DataFra
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(book.schema)
-    rows = book.unionByName(patterns.select("leaf", "at"), allowMissingColumns=True)
-    # NULL sorts first, so number the patterns behind all templates
+    rows = book.withColumn("at", F.get("steps", F.lit(0))).unionByName(
+        patterns.select("leaf", "pattern", "at"), allowMissingColumns=True
+    )
     rows = rows.repartition("leaf").sortWithinPartitions(
         "leaf", F.col("template_no").asc_nulls_last(), "at"
     )
     return rows.mapInArrow(lambda batches: _replay(batches, threshold, schema), BOOK_SCHEMA)
 
 
-def current_template(at: Column, wild: Column) -> Column:
-    """Template text: the founding pattern with its wild positions replaced."""
-    gone = F.transform(wild, lambda w: w["pos"])
-    tokens = F.transform(
-        pattern_tokens(at["pattern"]),
-        lambda t, i: F.when(F.array_contains(gone, i), WILDCARD).otherwise(t),
-    )
-    return F.array_join(tokens, " ")
-
-
-def _mask(template: Column) -> Column:
-    """Wild positions of a template text, as text."""
-    places = F.transform(
-        pattern_tokens(template), lambda t, i: F.when(t == WILDCARD, i.cast("string"))
-    )
-    return F.array_join(places, ",")
-
-
 def coverings(patterns: DataFrame, book: DataFrame) -> DataFrame:
     """Pairs of a pattern and a template of its leaf that covers it by now.
 
@@ -280,23 +271,16 @@ def coverings(patterns: DataFrame, book: DataFrame) -> DataFrame:
     positions blanked is looked up among the templates: an equi-join, not a
     comparison with every template.
     """
-    template = current_template(F.col("at"), F.col("wild"))
-    templates = book.select(
-        "leaf", "template_no", F.col("at").alias("made"), "wild", template.alias("_template")
-    ).withColumn("_mask", _mask(F.col("_template")))
+    is_wild = F.transform(pattern_tokens(F.col("template")), lambda t: t == WILDCARD)
+    templates = book.withColumnRenamed("pattern", "founding").withColumn("_mask", is_wild)
     masks = templates.select("leaf", "_mask").distinct()
-    blank = F.transform(F.split("_mask", ","), lambda p: p.try_cast("int"))
-    blanked = F.transform(
+    blanked = F.zip_with(
         pattern_tokens(F.col("pattern")),
-        lambda t, i: F.when(F.array_contains("_blank", i), WILDCARD).otherwise(t),
-    )
-    probes = (
-        patterns.join(masks, "leaf")
-        .withColumn("_blank", F.array_compact(blank))
-        .withColumn("_template", F.array_join(blanked, " "))
-        .drop("_blank")
+        "_mask",
+        lambda t, wild: F.when(wild, WILDCARD).otherwise(t),
     )
-    return probes.join(templates, ["leaf", "_mask", "_template"]).drop("_mask", "_template")
+    probes = patterns.join(masks, "leaf").withColumn("template", F.array_join(blanked, " "))
+    return probes.join(templates, ["leaf", "_mask", "template"]).drop("_mask", "template")
 
 
 def mine_book(
@@ -347,19 +331,21 @@ def mine_templates(
     return keyed, mine_book(keyed, None, sim_threshold, chunk)
 
 
-def template_key(leaf: Column, at: Column) -> Column:
+def template_key(leaf: Column, pattern: Column) -> Column:
     """Id of a template that is the same in every run over the same stream."""
-    return F.sha1(F.concat(leaf, F.lit("|"), at["pattern"]))
+    return F.sha1(F.concat(leaf, F.lit("|"), pattern))
 
 
 def describe_templates(book: DataFrame) -> DataFrame:
     """``template_id, template_key, template, tokens``; ids count up in order of creation."""
-    template = current_template(F.col("at"), F.col("wild"))
-    return numbered(book, [], ["at"], "template_id").select(
+    placed = book.select(
+        "leaf", "template_no", "pattern", "template", F.get("steps", F.lit(0)).alias("at")
+    )
+    return numbered(placed, [], ["at"], "template_id").select(
         "template_id",
-        template_key(F.col("leaf"), F.col("at")).alias("template_key"),
-        template.alias("template"),
-        pattern_tokens(template).alias("tokens"),
+        template_key(F.col("leaf"), F.col("pattern")).alias("template_key"),
+        "template",
+        pattern_tokens(F.col("template")).alias("tokens"),
         "leaf",
         "template_no",
     )
@@ -369,12 +355,14 @@ def assignment_intervals(keyed: DataFrame, book: DataFrame) -> DataFrame:
     """``pattern, leaf, template_no, since, until``: where each pattern belongs, and when.
 
     A pattern belongs to the earliest template covering it. That changes only
-    when an earlier template comes to cover it too.
+    when an earlier template comes to cover it too. A template covers a pattern
+    since the last of the positions they differ in turned wild.
     """
-    tokens = pattern_tokens(F.col("pattern"))
-    founding = pattern_tokens(F.col("made.pattern"))
-    needed = F.filter("wild", lambda w: F.get(founding, w["pos"]) != F.get(tokens, w["pos"]))
-    since = F.greatest("made", F.array_max(F.transform(needed, lambda w: w["at"])))
+    differs = F.zip_with(
+        pattern_tokens(F.col("founding")), pattern_tokens(F.col("pattern")), lambda a, b: a != b
+    )
+    step = F.array_max(F.zip_with(differs, "wild", lambda d, w: F.when(d, w)))
+    since = F.get("steps", F.coalesce(step, F.lit(0)))
     covered = coverings(keyed.select("leaf", "pattern"), book).select(
         "pattern", "leaf", "template_no", since.alias("since")
     )
