@@ -22,19 +22,26 @@ MASKS = (
 )
 
 
+# The masks as ordered alternatives of one expression. Every mask starts and ends
+# at a word edge, so none can begin inside the match of another and one scan gives
+# what one pass per mask gives. The edges, and a look at the first character, are
+# tested once for all of them.
+_WORD = r"[\p{L}\p{N}_]"
+_ANY_MASK = (
+    rf"(?U)(?<!{_WORD})(?=[\da-fA-F])(?:"
+    + "|".join(m.removeprefix(r"\b").removesuffix(r"\b") for m in MASKS)
+    + rf")(?!{_WORD})"
+)
+
+
 def strip(value: Column) -> Column:
     """Trim all Unicode white space (SQL trim removes blanks only)."""
     return F.btrim(value, F.lit(SPACES))
 
 
 def mask_variables(message: Column) -> Column:
-    """Replace variable parts by the wildcard.
-
-    One scan with the masks as ordered alternatives gives what one pass per mask
-    gives: every mask starts and ends at a word edge, so none can begin inside
-    the match of a later one.
-    """
-    return F.regexp_replace(message, "(?U)" + "|".join(MASKS), F.lit(WILDCARD))
+    """Replace variable parts by the wildcard."""
+    return F.regexp_replace(message, _ANY_MASK, F.lit(WILDCARD))
 
 
 def message_pattern(message: Column) -> Column:
@@ -85,7 +92,7 @@ def search_form(text: Column) -> Column:
     A phrase occurs in a text exactly if its search form, blanks included, is
     contained in the search form of the text.
     """
-    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.concat(
-        F.lit(" "), F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" ")
-    )
+    lower = F.lower(text)
+    ascii_only = F.length(lower) == F.octet_length(lower)
+    plain = F.when(ascii_only, lower).otherwise(F.translate(lower, ACCENTED, PLAIN))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))

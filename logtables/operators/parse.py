@@ -28,9 +28,11 @@ LEVELED_LINE = rf"^\s*(?:\[?({LINE_TIME})\]?\s+)?\[?({LINE_LEVEL})\]?\s+(?:({LIN
 
 SPECIAL_KEYS = MESSAGE_KEYS + TIME_KEYS + LEVEL_KEYS
 
-# A possessive repeat takes the same text as LOGFMT_PAIR (its two branches share
-# no character), without the stack depth Java spends per repeat of a group.
-_PAIR = "(?U)" + LOGFMT_PAIR.replace(r'[^"\\]|\\.)*', r'[^"\\]++|\\.)*+')
+# The same matches as LOGFMT_PAIR at less cost: a key is tried once, from its first
+# letter, and the possessive repeats spare the stack Java spends per repeat of a group.
+_PAIR = "(?U)(?<!\\w)" + LOGFMT_PAIR.replace(r"(\w+)", r"(\w++)").replace(
+    r'[^"\\]|\\.)*', r'[^"\\]++|\\.)*+'
+)
 _LEVELED = "(?isU)" + LEVELED_LINE
 _SEP = "\u0001"
 

@@ -437,7 +437,16 @@ def template_counts(
 
 
 def top_templates(counted: DataFrame, text: str = "template", n: int = 10) -> DataFrame:
-    """The ``n`` largest by ``count``, with a bar of 0 to 4 relative to the largest."""
+    """The ``n`` largest by ``count``; their bars are 0 to 4 long, relative to the largest."""
     top = counted.orderBy(F.desc("count"), text).limit(n)
     share = F.col("count") * 4.0 / F.max("count").over(Window.partitionBy(F.lit(0)))
     return top.withColumn("bar", F.bround(share, 0).cast("int"))
+
+
+def template_table(top: DataFrame, text: str = "template") -> DataFrame:
+    """Rows of :func:`top_templates` as text: count, bar, template."""
+    return top.select(
+        F.format_number("count", 0).alias("count"),
+        F.repeat(F.lit("\u2588"), F.col("bar")).alias("bar"),
+        F.col(text).alias("template"),
+    )

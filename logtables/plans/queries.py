@@ -264,10 +264,11 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens ``t`` of each document line and ``m`` of the line after it."""
     lines = F.split("text", "\n")
     pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, F.lit(2), F.size(lines)).alias("b"))
-    documents = views.table(spark, sf_dir, "documents")
-    both = documents.select("doc_id", F.posexplode(pairs).alias("line_no", "pair")).filter(
-        "pair.b is not null"
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = views.spread(documents).select(
+        "doc_id", F.posexplode(pairs).alias("line_no", "pair")
     )
+    both = both.filter("pair.b is not null")
     t, m = (
         text.pattern_tokens(text.message_pattern(F.col(f"pair.{side}"))) for side in ("a", "b")
     )

@@ -39,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, if the scan has fewer splits than that.
+
+    A table of one small file is one split; parsing its lines is worth the move.
+    A table large enough to matter has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``arrival, source, value, ingest_ts``: one raw line per row of ``events``."""
     lines = LOGS_SQL.format(
@@ -47,7 +57,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             ts + make_interval(0, 0, 0, 0, 0, 0, event_id % 7), "{ISO}"), 'Z') as timestamp)""",
     )
     lines = lines.replace("from events", f"from parquet.`{sf_dir}/events.parquet`")
-    return spark.sql(lines).withColumnRenamed("raw", "value")
+    return spread(spark.sql(lines).withColumnRenamed("raw", "value"))
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +68,5 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doclines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, line_no, source, line``: the lines of ``documents``."""
     lines = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", lines)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(documents).select("doc_id", "source", lines)

@@ -15,7 +15,9 @@ def _labelled(files: DataFrame, name: str | None, ingest_ts: Column | None) -> D
     # File time instead of read time: a line without a time of its own then keeps
     # its event id when the file is read again.
     time = F.col("_metadata.file_modification_time") if ingest_ts is None else ingest_ts
-    return files.select(label.alias("source"), "value", time.alias("ingest_ts")).filter(
+    # bytes that are not UTF-8 become the replacement character
+    value = F.make_valid_utf8("value").alias("value")
+    return files.select(label.alias("source"), value, time.alias("ingest_ts")).filter(
         F.col("value") != ""
     )
 
@@ -25,12 +27,16 @@ def read_logs(
     paths: str | Sequence[str],
     name: str | None = None,
     ingest_ts: Column | None = None,
+    skip_bad_files: bool = False,
 ) -> DataFrame:
     """Every non-empty line of the files, labelled with the file's base name or ``name``.
 
-    ``ingest_ts`` defaults to the file's modification time.
+    ``ingest_ts`` defaults to the file's modification time. ``skip_bad_files``
+    reads on past files that vanish or cannot be read.
     """
-    return _labelled(spark.read.text(paths), name, ingest_ts)
+    bad = str(skip_bad_files).lower()
+    files = spark.read.options(ignoreMissingFiles=bad, ignoreCorruptFiles=bad).text(paths)
+    return _labelled(files, name, ingest_ts)
 
 
 def stream_logs(
