@@ -31,12 +31,13 @@ LEVEL_SCAN = r"\b(fatal|critical|error|warn(?:ing)?|debug|trace)\b"
 
 INFO, ERROR, FATAL = 2, 4, 5
 _SPELLINGS = {**LEVEL_WORDS, **LEVEL_LETTERS, **LEVEL_NUMBERS}
+_SPELLING_MAP = "map(" + ", ".join(f"'{k}', {v}" for k, v in _SPELLINGS.items()) + ")"
 
 
 def normalize_level(value: Column) -> Column:
     """0..5 for any common spelling of a severity, NULL for anything else."""
     token = F.lower(strip(value))
-    spellings = F.create_map(*[F.lit(x) for pair in _SPELLINGS.items() for x in pair])
+    spellings = F.expr(_SPELLING_MAP)
     digits = F.regexp_replace(token, "^0+(?=[0-9])", "")
     number = F.when(
         token.rlike("^[0-9]+$"),

@@ -39,7 +39,7 @@ _SEP = "\u0001"
 Detector = Callable[[DataFrame, str, str], DataFrame]
 
 
-def _structured(df: DataFrame, keys: str, values: str, out: str, when: Column) -> DataFrame:
+def _structured(df: DataFrame, keys: str, values: str, out: str, when: str) -> DataFrame:
     """Add the extraction struct for parallel arrays of keys and values.
 
     Of keys equal but for case the last one counts, so the arrays are searched
@@ -47,34 +47,30 @@ def _structured(df: DataFrame, keys: str, values: str, out: str, when: Column) -
     """
     df = df.withColumns(
         {
-            f"{out}_folded": F.reverse(F.transform(keys, lambda k: F.lower(k))),
-            f"{out}_last": F.reverse(F.col(values)),
+            f"{out}_folded": F.expr(f"reverse(transform({keys}, k -> lower(k)))"),
+            f"{out}_last": F.expr(f"reverse({values})"),
+            f"{out}_unique": F.expr(f"size(array_distinct({keys})) = size({keys})"),
         }
     )
-    folded = F.col(f"{out}_folded")
 
-    def first_present(names: Sequence[str]) -> Column:
-        return F.coalesce(
-            *[F.get(f"{out}_last", (F.array_position(folded, n) - 1).cast("int")) for n in names]
-        )
+    def first_present(names: Sequence[str]) -> str:
+        places = [f"cast(array_position({out}_folded, '{n}') - 1 as int)" for n in names]
+        return f"coalesce({', '.join(f'get({out}_last, {p})' for p in places)})"
 
-    special = F.array(*[F.lit(k) for k in SPECIAL_KEYS])
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    special = ", ".join(f"'{k}'" for k in SPECIAL_KEYS)
+    repeated = f"array_contains(slice({keys}, i + 2, size({keys})), e.{keys})"
+    struct = f"""named_struct(
+        'message', {first_present(MESSAGE_KEYS)},
+        'level', {first_present(LEVEL_KEYS)},
+        'timestamp', {first_present(TIME_KEYS)},
+        'fields', map_from_entries(filter(arrays_zip({keys}, {values}), (e, i) ->
+            lower(e.{keys}) not in ({special}) and ({out}_unique or not {repeated}))))"""
+    return df.withColumn(out, F.expr(f"case when {when} then {struct} end"))
 
-    def kept(entry: Column, i: Column) -> Column:
-        later = F.slice(F.col(keys), i + 2, F.size(keys))
-        return ~F.array_contains(special, F.lower(entry["key"])) & (
-            unique | ~F.array_contains(later, entry["key"])
-        )
 
-    pairs = F.arrays_zip(F.col(keys).alias("key"), F.col(values).alias("value"))
-    struct = F.struct(
-        first_present(MESSAGE_KEYS).alias("message"),
-        first_present(LEVEL_KEYS).alias("level"),
-        first_present(TIME_KEYS).alias("timestamp"),
-        F.map_from_entries(F.filter(pairs, kept)).alias("fields"),
-    )
-    return df.withColumn(out, F.when(when, struct)).drop(f"{out}_folded", f"{out}_last")
+def _tidy(df: DataFrame, out: str) -> DataFrame:
+    """Drop the steps towards ``out``."""
+    return df.drop(*[c for c in df.columns if c.startswith(f"{out}_")])
 
 
 def detect_json(df: DataFrame, line: str, out: str) -> DataFrame:
@@ -92,16 +88,16 @@ def detect_json(df: DataFrame, line: str, out: str) -> DataFrame:
             {"allowSingleQuotes": "false"},
         ),
     )
-    df = df.withColumn(f"{out}_objects", objects)
-    one = F.when(F.size(f"{out}_objects") == 1, F.get(f"{out}_objects", F.lit(0)))
-    df = df.withColumn(f"{out}_object", one).withColumns(
+    one = F.expr(f"case when size({out}_objects) = 1 then get({out}_objects, 0) end")
+    df = df.withColumn(f"{out}_objects", objects).withColumn(f"{out}_object", one)
+    df = df.withColumns(
         {
             f"{out}_keys": F.map_keys(f"{out}_object"),
             f"{out}_values": F.map_values(f"{out}_object"),
         }
     )
-    df = _structured(df, f"{out}_keys", f"{out}_values", out, F.col(f"{out}_keys").isNotNull())
-    return df.drop(f"{out}_objects", f"{out}_object", f"{out}_keys", f"{out}_values")
+    df = _structured(df, f"{out}_keys", f"{out}_values", out, f"{out}_keys is not null")
+    return _tidy(df, out)
 
 
 def detect_logfmt(df: DataFrame, line: str, out: str) -> DataFrame:
@@ -109,23 +105,19 @@ def detect_logfmt(df: DataFrame, line: str, out: str) -> DataFrame:
     pairs = F.when(
         F.col(line).contains("="), F.regexp_extract_all(F.col(line), F.lit(_PAIR), F.lit(0))
     )
-    df = df.withColumn(f"{out}_pairs", pairs)
-
-    def value_of(pair: Column) -> Column:
-        value = F.substring(pair, F.instr(pair, "=") + 1, F.length(pair))
-        quoted = value.startswith('"') & value.endswith('"')
-        inner = F.substring(value, F.lit(2), F.length(value) - 2)
-        return F.when(quoted, F.replace(inner, F.lit('\\"'), F.lit('"'))).otherwise(value)
-
-    df = df.withColumns(
+    value = "substring(p, instr(p, '=') + 1)"
+    quoted = f"startswith({value}, '\"') and endswith({value}, '\"')"
+    inner = "substring(p, instr(p, '=') + 2, length(p) - instr(p, '=') - 2)"
+    plain = f"if({quoted}, replace({inner}, r'\\\"', '\"'), {value})"
+    df = df.withColumn(f"{out}_pairs", pairs).withColumns(
         {
-            f"{out}_keys": F.transform(f"{out}_pairs", lambda p: F.substring_index(p, "=", 1)),
-            f"{out}_values": F.transform(f"{out}_pairs", value_of),
+            f"{out}_keys": F.expr(f"transform({out}_pairs, p -> substring_index(p, '=', 1))"),
+            f"{out}_values": F.expr(f"transform({out}_pairs, p -> {plain})"),
         }
     )
-    found = F.exists(f"{out}_keys", lambda k: F.lower(k).isin(*SPECIAL_KEYS))
-    df = _structured(df, f"{out}_keys", f"{out}_values", out, found)
-    return df.drop(f"{out}_pairs", f"{out}_keys", f"{out}_values")
+    special = ", ".join(f"'{k}'" for k in SPECIAL_KEYS)
+    found = f"exists({out}_keys, k -> lower(k) in ({special}))"
+    return _tidy(_structured(df, f"{out}_keys", f"{out}_values", out, found), out)
 
 
 def detect_leveled(df: DataFrame, line: str, out: str) -> DataFrame:
@@ -143,7 +135,7 @@ def detect_leveled(df: DataFrame, line: str, out: str) -> DataFrame:
         F.create_map().cast("map<string,string>").alias("fields"),
     )
     df = df.withColumn(out, F.when(F.col(f"{out}_rest").isNotNull(), struct))
-    return df.drop(f"{out}_level", f"{out}_rest")
+    return _tidy(df, out)
 
 
 DETECTORS: dict[str, Detector] = {
