@@ -150,6 +150,9 @@ def tag_batch(
     path: str,
     message: str = "message",
     order: str = "ts",
+    depth: int = T.DEPTH,
+    sim_threshold: float = T.SIM_THRESHOLD,
+    max_children: int = T.MAX_CHILDREN,
     chunk: int = T.REPLAY_CHUNK,
 ) -> None:
     """Go on mining with one micro-batch and write its events with their template.
@@ -165,14 +168,14 @@ def tag_batch(
     ids = read_batches(spark, f"{path}/ids", _IDS, number).drop("batch")
 
     patterns = materialise(T.pattern_counts(events, message, order, number), "patterns")
-    keyed, kept = T.leaf_keys(patterns, known_children=children)
+    keyed, kept = T.leaf_keys(patterns, depth, max_children, children)
     keyed = materialise(keyed, "keyed")
     write_batch(kept, f"{path}/children", number)
 
     newest = books.groupBy("leaf").agg(F.max("batch").alias("batch"))
     book = books.join(newest, ["leaf", "batch"]).drop("batch")
     book = book.select(*spark.createDataFrame([], T.BOOK_SCHEMA).columns)
-    write_batch(T.mine_book(keyed, book, chunk=chunk), f"{path}/book", number)
+    write_batch(T.mine_book(keyed, book, sim_threshold, chunk), f"{path}/book", number)
     book = read_batches(spark, f"{path}/book", T.BOOK_SCHEMA).filter(F.col("batch") == number)
     book = book.drop("batch")
 
@@ -199,14 +202,16 @@ def tag_templates(
     message: str = "message",
     order: str = "ts",
     trigger: dict | None = None,
+    **mining: int | float,
 ) -> StreamingQuery:
     """Tag events with templates as they arrive, into the table ``path/events``.
 
     Batches count as arriving one after the other; ``order`` rules within a batch.
+    ``mining`` sets ``depth``, ``sim_threshold`` or ``max_children``.
     """
 
     def tag(batch: DataFrame, number: int) -> None:
-        tag_batch(batch, number, path, message, order)
+        tag_batch(batch, number, path, message, order, **mining)
 
     return _each_batch(events, checkpoint, tag, trigger)
 
