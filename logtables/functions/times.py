@@ -31,6 +31,16 @@ def parse_timestamp(value: Column) -> Column:
     ).try_cast("timestamp")
 
 
+def utc(ts: Column) -> Column:
+    """Time shifted so that its clock reads UTC, whatever zone the session is in."""
+    return F.to_utc_timestamp(ts, F.current_timezone())
+
+
+def utc_date(ts: Column) -> Column:
+    """Calendar date in UTC."""
+    return F.to_date(utc(ts))
+
+
 def epoch_ms(ts: Column) -> Column:
     """Whole milliseconds since the epoch, rounded down."""
     return F.unix_millis(ts)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from logtables.functions.ids import event_id
 from logtables.functions.levels import INFO, normalize_level, scan_level
 from logtables.functions.text import strip
-from logtables.functions.times import parse_timestamp
+from logtables.functions.times import parse_timestamp, utc_date
 
 # The keys read as message, time and level, first in the list
 # first, and the shapes of a logfmt pair and of a leveled line.
@@ -202,6 +202,6 @@ def parse_logs(
         "fields",
         "ingest_ts",
         F.lit(None).cast("bigint").alias("template_id"),
-        F.to_date("ts").alias("event_date"),
+        utc_date(F.col("ts")).alias("event_date"),
         "format",
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logtables.functions.levels import level_name, level_number
 from logtables.functions.text import search_form
-from logtables.functions.times import duration_seconds, epoch_ms
+from logtables.functions.times import duration_seconds, epoch_ms, utc, utc_date
 
 SEARCH_TEXT = "search_text"
 
@@ -46,19 +46,18 @@ def field_like(key: str, value: object) -> Column:
     return _like(F.to_json("fields"), f'%"{key}":%{value}%')
 
 
-def within(last: str | int, now: Column | datetime | None = None) -> Column:
-    """Event time at most ``last`` before ``now``; also prunes date partitions."""
+def within(
+    last: str | int, now: Column | datetime | None = None, dated: bool = True
+) -> Column:
+    """Event time at most ``last`` before ``now``; prunes partitions if ``dated``."""
     now = F.current_timestamp() if now is None else now
     now = now if isinstance(now, Column) else F.lit(now)
     span = duration_seconds(last)
-    cutoff = now - F.expr(f"interval {span} seconds")
     fresh = epoch_ms(F.col("ts")) >= epoch_ms(now) - F.lit(span * 1000)
-    # the bare comparison, a millisecond wider, is the one Parquet can skip by
-    return (
-        fresh
-        & (F.col("ts") >= cutoff - F.expr("interval 1 millisecond"))
-        & (F.col("event_date") >= F.to_date(cutoff - F.expr("interval 1 millisecond")))
-    )
+    # plain comparisons, a millisecond wider, that Parquet and partitions can skip by
+    cutoff = now - F.expr(f"interval {span} seconds") - F.expr("interval 1 millisecond")
+    fresh = fresh & (F.col("ts") >= cutoff)
+    return fresh & (F.col("event_date") >= utc_date(cutoff)) if dated else fresh
 
 
 def add_search_text(events: DataFrame) -> DataFrame:
@@ -124,7 +123,7 @@ def where(
     if source is not None:
         terms.append(from_source(source))
     if last is not None:
-        terms.append(within(last, now))
+        terms.append(within(last, now, "event_date" in events.columns))
     terms += [field_term(k, v) for k, v in (fields or {}).items()]
     if phrases and text_mode == "phrase":
         terms.append(has_phrases(phrases, SEARCH_TEXT in events.columns))
@@ -166,7 +165,7 @@ def filter_any(events: DataFrame, needle: str) -> DataFrame:
 
 def format_events(events: DataFrame, out: str = "line") -> DataFrame:
     """Add ``HH:MM:SS LEVEL [source] message`` in UTC."""
-    clock = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "HH:mm:ss")
+    clock = F.date_format(utc(F.col("ts")), "HH:mm:ss")
     line = F.format_string(
         "%s %-5s [%s] %s", clock, level_name(F.col("level")), F.col("source"), F.col("message")
     )

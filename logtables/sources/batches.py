@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logtables.functions.ids import event_id
 from logtables.functions.levels import FATAL
-from logtables.functions.times import parse_timestamp
+from logtables.functions.times import parse_timestamp, utc, utc_date
 from logtables.operators.numbering import numbered
 
 # The batch version, events per batch, and the name of an unnamed agent.
@@ -23,13 +23,9 @@ _ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 def _iso(ts: Column) -> Column:
     """ISO time in UTC, with microseconds only if there are any."""
-    utc = F.to_utc_timestamp(ts, F.current_timezone())
     fraction = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    whole = F.date_format(utc, _ISO)
-    return F.concat(
-        F.when(fraction == 0, whole).otherwise(F.date_format(utc, _ISO + ".SSSSSS")),
-        F.lit("+00:00"),
-    )
+    whole, full = (F.date_format(utc(ts), shape) for shape in (_ISO, _ISO + ".SSSSSS"))
+    return F.concat(F.when(fraction == 0, whole).otherwise(full), F.lit("+00:00"))
 
 
 def pack_batches(
@@ -143,7 +139,7 @@ def unpack_batches(batches: DataFrame, payload: str = "payload") -> tuple[DataFr
         "fields",
         F.lit(None).cast("timestamp").alias("ingest_ts"),
         F.lit(None).cast("bigint").alias("template_id"),
-        F.to_date("ts").alias("event_date"),
+        utc_date(F.col("ts")).alias("event_date"),
     )
     refused = checked.filter("reason is not null").select(
         F.col(payload).alias("payload"), "agent_id", "reason"

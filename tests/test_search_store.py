@@ -129,3 +129,32 @@ def test_files(spark, tmp_path):
     named = lt.read_logs(spark, str(tmp_path / "db.log"), name="db")
     merged = lt.merge_sources([named, lines.filter("source = 'app.log'")])
     assert sorted({r.source for r in merged.collect()}) == ["app.log", "db"]
+
+
+def test_results_do_not_depend_on_the_session_zone(spark, events, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [{"message": f"h{h}", "age": h * 3600} for h in range(30)]
+
+    def results():
+        stored = lt.read_events(spark, path)
+        recent = sorted(r.message for r in lt.search(stored, last="14h", now=NOW).collect())
+        lines = sorted(r.line for r in lt.format_events(stored).collect())
+        batch = sorted(r.payload for r in lt.pack_batches(stored).collect())
+        return recent, lines, batch
+
+    lt.append_events(lt.parse_logs(events(*rows).select(
+        F.concat(F.lit('{"ts":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z","msg":"'), "message", F.lit('"}')).alias("value"),
+        "source", "ingest_ts",
+    )), path)
+    want = results()
+    assert len(want[0]) == 15
+    try:
+        for zone in ("Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert results() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    found = lt.search(lt.read_events(spark, path), last="14h", now=NOW)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "event_date" in filters[: filters.index("]")] and "current_timezone" not in filters
