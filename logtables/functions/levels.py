@@ -53,7 +53,8 @@ def normalize_level(value: Column) -> Column:
 
 def scan_level(message: Column) -> Column:
     """Level of the first severity word in free text, NULL if there is none."""
-    return normalize_level(F.regexp_extract(message, "(?iU)" + LEVEL_SCAN, 1))
+    word = F.regexp_extract(message, "(?iU)" + LEVEL_SCAN, 1)
+    return F.try_element_at(F.expr(_SPELLING_MAP), F.lower(word))
 
 
 def level_name(level: Column) -> Column:

@@ -20,9 +20,9 @@ BLANK_SHAPE = rf"^{_DAY}\s+{_CLOCK}(?:[.,]\d{{1,6}})?$"
 DURATION_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
-def parse_timestamp(value: Column) -> Column:
+def parse_timestamp(value: Column, trimmed: bool = False) -> Column:
     """Timestamp of a log time string, NULL if it has none of the accepted shapes."""
-    text = strip(value)
+    text = value if trimmed else strip(value)
     blank_as_t = F.regexp_replace(F.translate(text, ",", "."), r"\s+", "T")
     return (
         F.when(text.rlike(ZONED_SHAPE), text)

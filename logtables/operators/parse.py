@@ -42,35 +42,34 @@ Detector = Callable[[DataFrame, str, str], DataFrame]
 def _structured(df: DataFrame, keys: str, values: str, out: str, when: str) -> DataFrame:
     """Add the extraction struct for parallel arrays of keys and values.
 
-    Of keys equal but for case the last one counts, so the arrays are searched
-    from their end.
+    Both arrays, given as SQL, run from the last pair to the first, because of
+    keys equal but for case the last one counts.
     """
     df = df.withColumns(
         {
-            f"{out}_folded": F.expr(f"reverse(transform({keys}, k -> lower(k)))"),
-            f"{out}_last": F.expr(f"reverse({values})"),
-            f"{out}_unique": F.expr(f"size(array_distinct({keys})) = size({keys})"),
+            f"{out}_keys": F.expr(keys),
+            f"{out}_values": F.expr(values),
+            f"{out}_folded": F.expr(f"transform({keys}, k -> lower(k))"),
         }
     )
+    keys, values, folded = f"{out}_keys", f"{out}_values", f"{out}_folded"
 
     def first_present(names: Sequence[str]) -> str:
-        places = [f"cast(array_position({out}_folded, '{n}') - 1 as int)" for n in names]
-        return f"coalesce({', '.join(f'get({out}_last, {p})' for p in places)})"
+        places = [f"cast(array_position({folded}, '{n}') - 1 as int)" for n in names]
+        return f"coalesce({', '.join(f'get({values}, {p})' for p in places)})"
 
     special = ", ".join(f"'{k}'" for k in SPECIAL_KEYS)
-    repeated = f"array_contains(slice({keys}, i + 2, size({keys})), e.{keys})"
+    pairs, plain = f"arrays_zip({keys}, {values})", f"lower(e.{keys}) not in ({special})"
+    repeated = f"array_contains(slice({keys}, 1, i), e.{keys})"
     struct = f"""named_struct(
         'message', {first_present(MESSAGE_KEYS)},
         'level', {first_present(LEVEL_KEYS)},
         'timestamp', {first_present(TIME_KEYS)},
-        'fields', map_from_entries(filter(arrays_zip({keys}, {values}), (e, i) ->
-            lower(e.{keys}) not in ({special}) and ({out}_unique or not {repeated}))))"""
-    return df.withColumn(out, F.expr(f"case when {when} then {struct} end"))
-
-
-def _tidy(df: DataFrame, out: str) -> DataFrame:
-    """Drop the steps towards ``out``."""
-    return df.drop(*[c for c in df.columns if c.startswith(f"{out}_")])
+        'fields', map_from_entries(if(size(array_distinct({keys})) = size({keys}),
+            filter({pairs}, e -> {plain}),
+            filter({pairs}, (e, i) -> {plain} and not {repeated}))))"""
+    df = df.withColumn(out, F.expr(f"case when {when} then {struct} end"))
+    return df.drop(keys, values, folded)
 
 
 def detect_json(df: DataFrame, line: str, out: str) -> DataFrame:
@@ -79,45 +78,35 @@ def detect_json(df: DataFrame, line: str, out: str) -> DataFrame:
     Wrapped in brackets and read as an array, so text after the object makes
     two elements or none, and the line is refused.
     """
-    text = strip(F.col(line))
-    objects = F.when(
-        text.startswith("{") & text.endswith("}"),
-        F.from_json(
-            F.concat(F.lit("["), text, F.lit("]")),
-            "array<map<string,string>>",
-            {"allowSingleQuotes": "false"},
-        ),
-    )
-    one = F.expr(f"case when size({out}_objects) = 1 then get({out}_objects, 0) end")
-    df = df.withColumn(f"{out}_objects", objects).withColumn(f"{out}_object", one)
-    df = df.withColumns(
-        {
-            f"{out}_keys": F.map_keys(f"{out}_object"),
-            f"{out}_values": F.map_values(f"{out}_object"),
-        }
+    raw, text, objects = F.col(line), f"{out}_text", f"{out}_objects"
+    braced = raw.startswith("{") & raw.endswith("}")
+    # trimming costs more than the test for it, and most lines need none
+    df = df.withColumn(text, F.when(braced, raw).when(raw.contains("}"), strip(raw)))
+    read = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")),
+        "array<map<string,string>>",
+        {"allowSingleQuotes": "false"},
     )
-    df = _structured(df, f"{out}_keys", f"{out}_values", out, f"{out}_keys is not null")
-    return _tidy(df, out)
+    braced = F.col(text).startswith("{") & F.col(text).endswith("}")
+    df = df.withColumn(objects, F.when(braced, read)).drop(text)
+    one = f"case when size({objects}) = 1 then get({objects}, 0) end"
+    keys, values = f"reverse(map_keys({one}))", f"reverse(map_values({one}))"
+    return _structured(df, keys, values, out, f"{out}_keys is not null").drop(objects)
 
 
 def detect_logfmt(df: DataFrame, line: str, out: str) -> DataFrame:
     """``key=value`` pairs, values optionally quoted, at least one special key."""
-    pairs = F.when(
-        F.col(line).contains("="), F.regexp_extract_all(F.col(line), F.lit(_PAIR), F.lit(0))
-    )
+    found = F.reverse(F.regexp_extract_all(F.col(line), F.lit(_PAIR), F.lit(0)))
+    pairs = f"{out}_pairs"
+    df = df.withColumn(pairs, F.when(F.col(line).contains("="), found))
     value = "substring(p, instr(p, '=') + 1)"
     quoted = f"startswith({value}, '\"') and endswith({value}, '\"')"
     inner = "substring(p, instr(p, '=') + 2, length(p) - instr(p, '=') - 2)"
     plain = f"if({quoted}, replace({inner}, r'\\\"', '\"'), {value})"
-    df = df.withColumn(f"{out}_pairs", pairs).withColumns(
-        {
-            f"{out}_keys": F.expr(f"transform({out}_pairs, p -> substring_index(p, '=', 1))"),
-            f"{out}_values": F.expr(f"transform({out}_pairs, p -> {plain})"),
-        }
-    )
+    keys = f"transform({pairs}, p -> substring_index(p, '=', 1))"
     special = ", ".join(f"'{k}'" for k in SPECIAL_KEYS)
-    found = f"exists({out}_keys, k -> lower(k) in ({special}))"
-    return _tidy(_structured(df, f"{out}_keys", f"{out}_values", out, found), out)
+    known = f"arrays_overlap({out}_folded, array({special}))"
+    return _structured(df, keys, f"transform({pairs}, p -> {plain})", out, known).drop(pairs)
 
 
 def detect_leveled(df: DataFrame, line: str, out: str) -> DataFrame:
@@ -135,7 +124,7 @@ def detect_leveled(df: DataFrame, line: str, out: str) -> DataFrame:
         F.create_map().cast("map<string,string>").alias("fields"),
     )
     df = df.withColumn(out, F.when(F.col(f"{out}_rest").isNotNull(), struct))
-    return _tidy(df, out)
+    return df.drop(f"{out}_level", f"{out}_rest")
 
 
 DETECTORS: dict[str, Detector] = {
@@ -178,9 +167,10 @@ def parse_logs(
         shape = F.when(F.col(name).isNotNull(), F.lit(name[1:])).otherwise(shape)
     df = df.withColumns({"_parsed": F.coalesce(*found, nothing), "_format": shape})
     message = F.coalesce(F.nullif(F.col("_parsed.message"), F.lit("")), F.col("raw"))
-    df = df.withColumn("_message", message)
+    df = df.withColumns({"_message": message, "_time": strip(F.col("_parsed.timestamp"))})
+    time = parse_timestamp(F.col("_time"), trimmed=True)
     event = F.struct(
-        F.coalesce(parse_timestamp(F.col("_parsed.timestamp")), F.col("ingest_ts")).alias("ts"),
+        F.coalesce(time, F.col("ingest_ts")).alias("ts"),
         F.coalesce(
             normalize_level(F.col("_parsed.level")), scan_level(F.col("_message")), F.lit(INFO)
         ).alias("level"),

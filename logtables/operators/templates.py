@@ -300,7 +300,8 @@ def mine_book(
     finished = None
     while True:
         sizes = pending.groupBy("leaf").agg(F.count("*").alias("_n"))
-        book = book.join(sizes.select("leaf"), "leaf", "left_semi").select(*book.columns)
+        if known is not None or finished is not None:  # else there is no template yet
+            book = book.join(sizes.select("leaf"), "leaf", "left_semi").select(*book.columns)
         largest = sizes.agg(F.max("_n")).first()[0] or 0
         last = largest <= chunk
         if last:
