@@ -52,8 +52,8 @@ BOOK_SCHEMA = (
 def order_number(column: str, df: DataFrame) -> Column:
     """A time or integer column as a number to order by."""
     kind = dict(df.dtypes)[column]
-    if kind == "timestamp":
-        return F.unix_micros(column)
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp"))
     return F.col(column).cast("bigint")
 
 
