@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import logtables as lt
-from logtables.operators import numbering
+from logtables.operators import health, numbering
 from logtables.operators.numbering import numbered
 from logtables.sources.batches import unpack_batches
 
@@ -96,6 +96,21 @@ def test_rates(spark):
     assert at == {4: 2.0, 5: 1.4, 20: 0.0}
 
 
+def test_latest_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(health, "GROUP_LIMIT", 5)
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.8 else "cold", rng.randint(0, 300), i, {"k": "v"}) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int, m map<string,string>")
+    for n in (3, 40, 5000):
+        got = sorted((r.k, r.v, r.i) for r in lt.latest(df, [F.desc("v"), "i"], n, ["k"]).collect())
+        want = [
+            r[:3]
+            for k in ("cold", "hot")
+            for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))[:n]
+        ]
+        assert got == sorted(want)
+
+
 def test_percentiles_and_status(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
     row = lt.percentiles(df, "v").first()
