@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logtables.llm.decontaminate import find_passages
 from logtables.llm.jaccard_join import jaccard_classes
+from logtables.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +19,13 @@ def query(run: Callable) -> Callable:
     return run
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary is; the same on the driver and the workers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,3 +62,52 @@ reach as (
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.component_id
 from sets s join (select x, min(y) as component_id from reach group by x) c on c.x = s.doc_id
 """
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
+ORACLES["op4_benchmark_decontamination"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents),
+b as (
+  select item_id, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark),
+pat as (
+  select distinct item_id, least(len(w), 10) as m,
+    array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as g
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0) q),
+win as (
+  select r, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') as g
+  from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i
+    from d cross join (select distinct m from pat) lengths where len(w) >= m) q),
+occ as (select win.r, win.i, win.m, pat.item_id from win join pat using (m, g)),
+hit as (
+  select r, count(distinct p) as n_hit
+  from (select distinct r, unnest(range(i, i + m)) as p from occ) q group by r),
+ids as (
+  select r, count(distinct item_id) as n_items,
+    string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as s
+  from occ group by r)
+select d.doc_id, cast(coalesce(len(d.w), 0) as bigint) as n_words,
+  cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (r) left join ids using (r)
+"""
+
+
+@query
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
