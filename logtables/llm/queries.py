@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from logtables.llm.decontaminate import find_passages
 from logtables.llm.jaccard_join import jaccard_classes
 from logtables.llm.packing import pack
+from logtables.llm.quality import measured
+from logtables.llm.secret_scan import digest, find_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +113,106 @@ from d left join hit using (r) left join ids using (r)
 @query
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_quality_cascade"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+win as (
+  select r, i, array_to_string(list_slice(w, i, i + 7), ' ') as g
+  from (select r, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8) q),
+rep as (
+  select r, count(distinct p) as n from (
+    select r, unnest(range(i, i + 8)) as p
+    from (select r, i, count(*) over (partition by r, g) as c from win) q where c > 1) q2
+  group by r),
+m as (
+  select doc_id, t, lines, cast(len(w) as bigint) as n_words,
+    cast(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+    cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+    cast(coalesce(rep.n, 0) as bigint) as n_repeat_words
+  from d left join rep using (r)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 100 * n_symbols > 25 * n_words
+    or 2 * len(regexp_extract_all(t, '!!')) > n_words
+    or 2 * n_dup_lines > len(lines)
+    or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+from b
+"""
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op3_secret_scan"] = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+    translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as t
+  from documents),
+kinds as (
+  select * from (values
+    (0, 'assign', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+    (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'),
+    (3, 'entropy_hex', '[0-9a-fA-F]+'), (4, 'entropy_base64', '[A-Za-z0-9+/_=-]+')) k(rank, kind, p)),
+marked as (
+  select r, rank, kind, string_split(
+    case rank
+      when 0 then regexp_replace(t, '(?i)((?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)', chr(1) || '\1' || chr(2), 'g')
+      when 1 then regexp_replace(t, '(AKIA[A-Z0-9]+)', chr(1) || '\1' || chr(2), 'g')
+      when 2 then regexp_replace(t, '([0-9a-f]+)', chr(1) || '\1' || chr(2), 'g')
+      when 3 then regexp_replace(t, '([0-9a-fA-F]+)', chr(1) || '\1' || chr(2), 'g')
+      else regexp_replace(t, '([A-Za-z0-9+/_=-]+)', chr(1) || '\1' || chr(2), 'g') end, chr(1)) as parts
+  from d cross join kinds),
+parts as (
+  select r, rank, kind, unnest(parts) as part, unnest(range(len(parts))) as k from marked),
+spans as (
+  select r, rank, kind, string_split(part, chr(2))[1] as found,
+    sum(length(replace(part, chr(2), ''))) over (partition by r, rank order by k)
+      - length(replace(part, chr(2), '')) as s, k
+  from parts),
+cand as (
+  select r, rank, kind, found, cast(s as bigint) as s, cast(s + length(found) as bigint) as e
+  from spans where k > 0 and case rank
+    when 0 then length(regexp_extract(found, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 12
+    when 1 then length(found) >= 18 when 2 then length(found) >= 16
+    else length(found) >= 20 and regexp_matches(found, '[0-9]') and regexp_matches(found, '[A-Za-z]')
+      and (rank = 3 or regexp_matches(found, '[^0-9a-fA-F]'))
+      and not regexp_matches(found, '(?i)example|0123456789abcdef|abcdefghijklmnop')
+      and lower(found) not in ('d41d8cd98f00b204e9800998ecf8427e', 'da39a3ee5e6b4b0d3255bfef95601890afd80709',
+        'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855') end),
+chars as (
+  select r, rank, s, w, c, count(*) as n from (
+    select r, rank, s, w, unnest(string_split(substr(found, w, 20), '')) as c
+    from (select r, rank, s, found, unnest(range(1, length(found) - 18)) as w from cand where rank >= 3) q) q2
+  group by all),
+tops as (
+  select r, rank, s, min(x) as x from (
+    select r, rank, s, w, sum(cast(round(1000000 * n * log2(n)) as bigint)) as x from chars group by all) q
+  group by all),
+kept as (
+  select cand.* from cand left join tops using (r, rank, s)
+  where rank < 3 or x <= cast(round(1000000 * 20 * (log2(20) - case rank when 3 then 3.0 else 3.7 end)) as bigint)),
+agg as (
+  select r, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access,
+    count(*) filter (rank = 2) as n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < 3) as base,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans
+  from kept group by r)
+select doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign,
+  cast(coalesce(n_access, 0) as bigint) as n_access, cast(coalesce(n_hex, 0) as bigint) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join agg using (r)
+"""
