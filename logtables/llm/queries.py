@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logtables.llm.decontaminate import find_passages
 from logtables.llm.jaccard_join import jaccard_classes
+from logtables.llm.kd_shards import shard
+from logtables.llm.line_dedup import drop_recurring
 from logtables.llm.packing import pack
 from logtables.llm.quality import measured
 from logtables.llm.secret_scan import digest, find_secrets
@@ -216,3 +219,23 @@ select doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join agg using (r)
 """
+
+
+@query
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard(table(spark, sf_dir, "documents"), 40)
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_recurring(table(spark, sf_dir, "documents"))
+    return found.select("document.doc_id", "n_lines", "n_dropped", "text")
