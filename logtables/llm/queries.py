@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from logtables.llm.decontaminate import find_passages
 from logtables.llm.jaccard_join import jaccard_classes
 from logtables.llm.kd_shards import shard
+from logtables.llm.language_id import identify, learn
+from logtables.llm.license_scan import scan_licenses
 from logtables.llm.line_dedup import drop_recurring
 from logtables.llm.packing import pack
+from logtables.llm.pseudonyms import KINDS, replace_private
 from logtables.llm.quality import measured
 from logtables.llm.secret_scan import digest, find_secrets
 
+#: The key of the registered query; a deployment passes one of its own.
+PSEUDONYM_KEY = b"a key for the given tables"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -239,3 +245,43 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_recurring(table(spark, sf_dir, "documents"))
     return found.select("document.doc_id", "n_lines", "n_dropped", "text")
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    as_text = F.transform(
+        "licenses",
+        lambda x: F.concat_ws(":", x["license"], x["dice"], x["unit"], x["place"]),
+    )
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",").alias("names"),
+        F.array_join(as_text, ",").alias("found"),
+    )
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = learn(docs.filter(~held_out))
+    found = identify(docs, model, with_spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_private(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    as_text = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return found.select(
+        "doc_id",
+        "text",
+        *(number(kind).alias(f"n_{kind}") for kind, *_ in KINDS),
+        F.array_join(as_text, ",").alias("spans"),
+    )
