@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logtables.llm.worker import kept
 
@@ -128,6 +129,13 @@ def _sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def clean_only(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``documents``, all their columns, without any benchmark passage."""
+    docs = documents.select(F.struct("*").alias("document"), "text")
+    found = find_passages(docs, benchmark, window, keep=("document",))
+    return found.filter("not contaminated").select("document.*")
+
+
 def find_passages(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -167,8 +175,9 @@ def find_passages(
         order = [c for c in df.columns if c not in ("n_words", "starts", "ends", "items")]
         df = df.select(*order, "n_words", "starts", "ends", "items")
         df = df.mapInArrow(_scan(shared, uuid.uuid4().hex, window), df.schema)
-    schema = f"{_ddl(df.drop('text'))}, n_hit bigint, items_sha256 string"
-    df = df.drop("text").mapInArrow(_sealed, schema)
+    df = df.drop("text")
+    more = [T.StructField("n_hit", T.LongType()), T.StructField("items_sha256", T.StringType())]
+    df = df.mapInArrow(_sealed, T.StructType([*df.schema.fields, *more]))
     return df.select(
         *(F.col(k).alias(c) for c, k in zip(keep, names)),
         "n_words",
@@ -181,6 +190,3 @@ def find_passages(
         (F.col("n_hit") > 0).alias("contaminated"),
     )
 
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)

@@ -121,11 +121,12 @@ def _sets(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array([k and _short(k) for k in keys], pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "short_key"],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "short_key"],
             )
 
     return run
@@ -266,8 +267,9 @@ def _search(percent: int):
 def jaccard_classes(
     documents: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK_SHINGLES
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``set_key`` and ``component_id`` for every row of ``documents``.
+    """``doc_id``, ``n_shingles``, ``component_id`` and keys for every row of ``documents``.
 
+    ``text_key`` is a hash of the text, ``set_key`` of its shingles, ``class_key`` of its class.
     Words are what stands between ASCII white space, A-Z lower-cased; a text of fewer than
     ``size`` words is one shingle. ``component_id`` is the smallest doc_id that links reach.
     A null or empty text, or one without words, has no shingles, links with nothing and is
@@ -276,8 +278,11 @@ def jaccard_classes(
     """
     docs = documents.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_shingles bigint, set_key binary, short_key bigint"
-    sets = materialise(docs.mapInArrow(_sets(size), schema), "sets")
+    schema = (
+        f"doc_id {id_type}, text_key bigint, n_shingles bigint, set_key binary, short_key bigint"
+    )
+    texts = docs.withColumn("text_key", F.xxhash64("text"))
+    sets = materialise(texts.mapInArrow(_sets(size), schema), "sets")
     reps = (
         sets.filter("n_shingles > 0")
         .groupBy("set_key")
@@ -294,10 +299,38 @@ def jaccard_classes(
         .select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
     )
     smallest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    of_set = named.join(smallest, "root").select("set_key", "class_id")
+    of_set = named.join(smallest, "root").select(
+        "set_key", "class_id", F.col("root").alias("class_key")
+    )
     found = sets.join(of_set, "set_key", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id"))
-    return found.select("doc_id", "n_shingles", "set_key", own.alias("component_id"))
+    return found.select(
+        "doc_id", "text_key", "n_shingles", "set_key", "class_key", own.alias("component_id")
+    )
+
+
+def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents``, all their columns, with one document of each class.
+
+    The smallest doc_id stays, null last; of rows that repeat it with an equal text, one.
+    Rows without words link with nothing and all stay.
+    """
+    docs = documents.select(
+        F.struct("*").alias("document"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("text_key"),
+        (F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") == "").alias("blank"),
+    )
+    found = jaccard_classes(documents, size, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = (
+        found.filter("n_shingles > 0").groupBy("class_key").agg(F.min(place).alias("p")).select("p.*")
+    )
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
+    same = docs.id.eqNullSafe(first.first_id) & (docs.text_key == first.first_key)
+    stay = docs.filter("not blank").join(first.distinct(), same, "left_semi")
+    one = stay.groupBy("id", "text_key").agg(F.first("document").alias("document"))
+    return one.select("document").union(docs.filter("blank").select("document")).select("document.*")
 
 
 def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int) -> DataFrame:

@@ -154,3 +154,24 @@ def drop_recurring(documents: DataFrame, keep_first: bool = True, **options) ->
         F.when(F.col("document.text").isNull(), 0).otherwise(total).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+
+
+def without_recurring(documents: DataFrame, **options) -> DataFrame:
+    """``documents``, all their columns, without recurring lines.
+
+    Where lines went, ``n_chars`` (if there is one) is counted anew, and a document of which
+    no word is left goes: all it said stays elsewhere.
+    """
+    found = drop_recurring(documents, **options)
+    word = F.translate(F.col("text"), " \t\n\x0b\x0c\r", "") != ""
+    found = found.filter((F.col("n_dropped") == 0) | word)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+
+    def column(name: str) -> Column:
+        old = F.col("document").getField(name)
+        if name not in changed:
+            return old.alias(name)
+        kind = documents.schema[name].dataType
+        return F.when(F.col("n_dropped") > 0, changed[name].cast(kind)).otherwise(old).alias(name)
+
+    return found.select(*(column(name) for name in documents.columns))
