@@ -204,9 +204,9 @@ def divide_skip(sets: list[np.ndarray], first: int, percent: int) -> Iterator[tu
     for q in range(first, len(sets)):
         n = len(sets[q])
         at = np.searchsorted(values, sets[q])
-        at = at[at < len(values)] if first else at
-        if first:
-            at = at[np.isin(values[at], sets[q], assume_unique=True)]
+        if first:  # not all its shingles need have a list
+            here = np.minimum(at, len(values) - 1)
+            at = here[values[here] == sets[q]]
         least = -(-n * percent // 100)  # overlap that any partner needs
         if len(at) < least:
             continue
