@@ -7,6 +7,7 @@ Viterbi with a penalty for each switch labels the words, so that a span has one
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -192,7 +193,7 @@ def spans(labels: np.ndarray, words: list[str], langs: list[str]) -> list[tuple[
     return out
 
 
-def _predict(shared, key: int, with_spans: bool):
+def _predict(shared, key: str, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("language", key), lambda: Model(*shared.value))
         langs = model.langs
@@ -255,4 +256,4 @@ def identify(documents: DataFrame, model: Model, with_spans: bool = True) -> Dat
         f"doc_id {id_type}, lang_pred string, score double, "
         "spans array<struct<lang:string,first:bigint,words:bigint>>"
     )
-    return docs.mapInArrow(_predict(shared, id(shared), with_spans), schema)
+    return docs.mapInArrow(_predict(shared, uuid.uuid4().hex, with_spans), schema)
