@@ -125,23 +125,23 @@ def _cut(placed: DataFrame, nodes: list[_Node], axes: list[str], ties: list[str]
             "div", part - of(lambda n: n.low), of(lambda n: (n.high - n.low) // BINS + 1)
         )
         found: dict[int, list] = {}
-        sums = placed.filter(inside).groupBy("node", number.alias("bin")).agg(F.sum("weight").alias("w"))
-        for r in sums.collect():
-            found.setdefault(r["node"], []).append((r["bin"], int(r["w"])))
+        sums = placed.filter(inside).groupBy("node", number.alias("bin"))
+        for r in sums.agg(F.sum("weight").alias("w"), F.count("*").alias("rows")).collect():
+            found.setdefault(r["node"], []).append((r["bin"], int(r["w"]), r["rows"]))
         active = [n for n in active if not _narrow(n, sorted(found.get(n.first, [])), len(ties))]
 
 
-def _narrow(node: _Node, bins: list[tuple[int, int]], n_ties: int) -> bool:
+def _narrow(node: _Node, bins: list[tuple[int, int, int]], n_ties: int) -> bool:
     """Goes on to the bin that holds the median; whether the cut is found."""
     step = (node.high - node.low) // BINS + 1
-    place, weight = 0, 0
-    for place, weight in bins:
+    place, weight, rows = 0, 0, 0
+    for place, weight, rows in bins:
         if node.below + weight >= node.goal:
             break
         node.below += weight
     low = node.low + place * step
     high = min(node.high, low + step - 1)
-    near = weight <= NEAR * node.total / node.count
+    near = rows == 1 or weight <= NEAR * node.total / node.count
     if low < high and bins and not near:
         node.low, node.high = low, high
         return False
