@@ -15,6 +15,7 @@ from logtables.operators.context import (
     attach_summaries,
     cluster_context,
     cluster_samples,
+    summarize,
     summarize_missing,
     summary_hit_rate,
 )

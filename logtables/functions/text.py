@@ -94,5 +94,7 @@ def search_form(text: Column) -> Column:
     """
     lower = F.lower(text)
     ascii_only = F.length(lower) == F.octet_length(lower)
-    plain = F.when(ascii_only, lower).otherwise(F.translate(lower, ACCENTED, PLAIN))
+    # accents may also stand behind their letter, as marks of their own
+    bare = F.regexp_replace(F.translate(lower, ACCENTED, PLAIN), r"\p{Mn}+", "")
+    plain = F.when(ascii_only, lower).otherwise(bare)
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))

@@ -13,8 +13,8 @@ from logtables.functions.text import strip
 # zone. With a blank: optional dot or comma fraction, no zone. No zone means UTC.
 _DAY = r"\d{4}-\d{1,2}-\d{1,2}"
 _CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
-ZONED_SHAPE = rf"^{_DAY}T{_CLOCK}(?:\.\d{{1,6}})?(?:Z|[+-]\d{{2}}:?\d{{2}})$"
-T_SHAPE = rf"^{_DAY}T{_CLOCK}(?:\.\d{{1,6}})?$"
+ZONED_SHAPE = rf"^{_DAY}[Tt]{_CLOCK}(?:\.\d{{1,6}})?(?:Z|[+-]\d{{2}}:?\d{{2}})$"
+T_SHAPE = rf"^{_DAY}[Tt]{_CLOCK}(?:\.\d{{1,6}})?$"
 BLANK_SHAPE = rf"^{_DAY}\s+{_CLOCK}(?:[.,]\d{{1,6}})?$"
 
 DURATION_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -24,6 +24,7 @@ def parse_timestamp(value: Column, trimmed: bool = False) -> Column:
     """Timestamp of a log time string, NULL if it has none of the accepted shapes."""
     text = value if trimmed else strip(value)
     blank_as_t = F.regexp_replace(F.translate(text, ",", "."), r"\s+", "T")
+    text = F.translate(text, "t", "T")
     return (
         F.when(text.rlike(ZONED_SHAPE), text)
         .when(text.rlike(T_SHAPE), F.concat(text, F.lit("Z")))
@@ -31,6 +32,26 @@ def parse_timestamp(value: Column, trimmed: bool = False) -> Column:
     ).try_cast("timestamp")
 
 
+# Day, and any one character, hour, minute, second, fraction and zone after it.
+_ISO = (
+    r"^(\d{4}-\d{2}-\d{2})(?:.(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
+    r"(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+)
+
+
+def parse_iso(value: Column) -> Column:
+    """Timestamp of an ISO day or time; without a zone it is UTC, NULL in any other shape."""
+    day, hour, minute, second, fraction, zone = (
+        F.nullif(F.regexp_extract(value, _ISO, i), F.lit("")) for i in range(1, 7)
+    )
+    zero = F.lit("00")
+    clock = F.concat_ws(":", *(F.coalesce(x, zero) for x in (hour, minute, second)))
+    whole = F.concat(
+        day, F.lit("T"), clock, F.lit("."), F.coalesce(fraction, F.lit("0")), F.coalesce(zone, F.lit("Z"))
+    )
+    return F.when(value.rlike(_ISO), whole).try_cast("timestamp")
+
+
 def utc(ts: Column) -> Column:
     """Time shifted so that its clock reads UTC, whatever zone the session is in."""
     return F.to_utc_timestamp(ts, F.current_timezone())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from logtables.functions.ids import cluster_fingerprint
 from logtables.operators.health import latest
+from logtables.sources.store import read_or_empty
 
 # Samples kept per cluster, samples quoted in a prompt, seconds per summary.
 SAMPLES = 20
 PROMPT_LINES = 15
 SUMMARY_TIMEOUT = 8.0
+# Summaries that a task asks for at the same time.
+ASKERS = 8
 
 
 def cluster_samples(
@@ -74,19 +78,28 @@ def summary_hit_rate(attached: DataFrame) -> DataFrame:
 def _summarise(
     batches: Iterator[pd.DataFrame], fn: Callable[[str], str | None], timeout: float
 ) -> Iterator[pd.DataFrame]:
-    """Call ``fn`` on each prompt; a failing, slow or empty answer is NULL."""
-
-    def answer(prompt: str) -> str | None:
-        pool = ThreadPoolExecutor(1)
-        try:
-            return pool.submit(fn, prompt).result(timeout) or None
-        except Exception:  # a failing summary leaves the cluster without one
-            return None
-        finally:
-            pool.shutdown(wait=False)
+    """Call ``fn`` on each prompt, several at a time; a failing, slow or empty answer is NULL.
 
+    The prompts asked together share a deadline. Threads still busy at that time are
+    given up, and the next prompts get fresh ones.
+    """
+    pool = ThreadPoolExecutor(ASKERS)
     for batch in batches:
-        yield batch.assign(summary=[answer(p) for p in batch["prompt"]])[["fingerprint", "summary"]]
+        prompts, answers = batch["prompt"].tolist(), []
+        for first in range(0, len(prompts), ASKERS):
+            asked = [pool.submit(fn, p) for p in prompts[first : first + ASKERS]]
+            deadline, late = time.monotonic() + timeout, False
+            for call in asked:
+                try:
+                    answers.append(call.result(max(0.0, deadline - time.monotonic())) or None)
+                except Exception:  # a failing summary leaves the cluster without one
+                    answers.append(None)
+                    late = late or not call.done()
+            if late:
+                pool.shutdown(wait=False, cancel_futures=True)
+                pool = ThreadPoolExecutor(ASKERS)
+        yield batch.assign(summary=answers)[["fingerprint", "summary"]]
+    pool.shutdown(wait=False, cancel_futures=True)
 
 
 def summarize_missing(
@@ -110,3 +123,23 @@ def summarize_missing(
     return missing.mapInPandas(
         lambda batches: _summarise(batches, fn, timeout), "fingerprint string, summary string"
     )
+
+
+def summarize(
+    contexts: DataFrame,
+    path: str,
+    fn: Callable[[str], str | None] | None,
+    timeout: float = SUMMARY_TIMEOUT,
+) -> DataFrame:
+    """Contexts with ``summary``: looked up in the table at ``path``, else asked for and kept.
+
+    Only fingerprints without a stored summary reach ``fn``, and what it answers is
+    appended, so a second run asks nothing. A fingerprint without an answer has NULL
+    and is asked for again next time. One writer at a time.
+    """
+    spark = contexts.sparkSession
+    schema = "fingerprint string, summary string"
+    stored = read_or_empty(spark, path, schema)
+    made = summarize_missing(contexts, stored, fn, timeout).filter("summary is not null")
+    made.write.mode("append").parquet(path)
+    return attach_summaries(contexts, spark.read.schema(schema).parquet(path))

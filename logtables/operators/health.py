@@ -53,17 +53,11 @@ def ingest_rate(
     return live.agg((F.count("*") / window_s).alias("rate"))
 
 
-# Spark cuts groups to their first rows before the shuffle up to this many rows
-# (spark.sql.optimizer.windowGroupLimitThreshold); larger cuts are made in two steps.
-GROUP_LIMIT = 1000
-SALTS = 64
-
-
 def latest(df: DataFrame, order: Sequence[Column | str], n: int, by: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows along ``order``, per group if ``by`` is given.
 
     The first ``n`` rows of a group are among the first ``n`` of each of its parts,
-    so a large group is cut in parts before it comes together.
+    so a group is cut in as many parts as a shuffle has before it comes together.
     """
     if not by:
         return df.orderBy(*order).limit(n)
@@ -72,11 +66,10 @@ def latest(df: DataFrame, order: Sequence[Column | str], n: int, by: Sequence[st
         row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return rows.withColumn("_row", row).filter(F.col("_row") <= n).drop("_row")
 
-    if n > GROUP_LIMIT:
-        plain = [c for c, kind in df.dtypes if "map<" not in kind]
-        part = F.pmod(F.xxhash64(*plain), F.lit(SALTS))
-        df = cut(df.withColumn("_part", part), [*by, "_part"]).drop("_part")
-    return cut(df, by)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    part = F.pmod(F.xxhash64(*plain), F.lit(parts))
+    return cut(cut(df.withColumn("_part", part), [*by, "_part"]).drop("_part"), by)
 
 
 def percentiles(observations: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

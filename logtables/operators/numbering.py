@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +14,23 @@ from logtables.scratch import materialise
 CHUNK = 4096
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys come from ``left``."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    same = functools.reduce(
+        lambda a, b: a & b, (left[k].eqNullSafe(right[name]) for k, name in names.items())
+    )
+    return left.join(right, same, how).drop(*names.values())
+
+
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... within each ``by`` group, along ``order``.
 
     A row_number() would sort a whole group in one task. Here the rows are range
     partitioned on group and order together, so a group of any size spreads over
     many tasks; only the row counts per (group, partition) are summed up.
-    ``by + order`` must identify a row.
+    ``by + order`` must identify a row. A null in ``by`` makes a group like any value.
     """
     keys = [*by, *order]
     placed = materialise(
@@ -37,7 +48,7 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     number = F.col("_before") + F.col("_pos") - F.col("_first")
     return (
-        placed.join(runs.drop("_rows"), [*by, "_part"])
+        join_on(placed, runs.drop("_rows"), [*by, "_part"])
         .withColumn(out, number.cast("bigint"))
         .drop("_part", "_pos", "_first", "_before")
     )

@@ -134,20 +134,33 @@ DETECTORS: dict[str, Detector] = {
 }
 
 
+def _there(df: DataFrame, name: str) -> list[Column]:
+    return [F.col(name)] if name in df.columns else []
+
+
 def parse_logs(
     lines: DataFrame,
     detectors: dict[str, Detector] | None = None,
     line: str = "value",
+    ingest_ts: Column | None = None,
 ) -> DataFrame:
     """Parse ``line`` of a frame with ``source`` and ``ingest_ts`` into events.
 
     ``detectors`` are tried in order, each only on lines no earlier one took.
     Lines without a usable time take ``ingest_ts``; without a level, the first
-    severity word in the message, else INFO. Further columns are kept.
+    severity word in the message, else INFO. Further columns are kept. A line
+    without source is from ``-``; one without ingest time came at the argument
+    ``ingest_ts``, by default now.
     """
     detectors = DETECTORS if detectors is None else detectors
     others = [c for c in lines.columns if c not in (line, "source", "ingest_ts")]
-    df = lines.withColumnRenamed(line, "raw")
+    now = F.current_timestamp() if ingest_ts is None else ingest_ts
+    df = lines.withColumnRenamed(line, "raw").withColumns(
+        {
+            "source": F.coalesce(*_there(lines, "source"), F.lit("-")),
+            "ingest_ts": F.coalesce(*_there(lines, "ingest_ts"), now),
+        }
+    )
     found: list[str] = []
     for name, detect in detectors.items():
         # NULL for a line already taken: every detector is NULL on NULL input

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtables.functions.times import bucket_start
-from logtables.operators.numbering import trailing
+from logtables.operators.numbering import join_on, trailing
+from logtables.scratch import materialise
 
 
 def bucket_counts(
@@ -71,11 +72,16 @@ def score_buckets(
 
 
 def _with_span(counts: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    """Counts with the span of their series; a lone series gets a constant key."""
+    """Counts with the span of their series; a lone series gets a constant key.
+
+    The counts are written once: both sides of the join are read from them, so the
+    events are read and parsed once. A null key is a series like any other.
+    """
     keys = by or ["_series"]
     if not by:
         counts = counts.withColumn("_series", F.lit(0))
-    return counts.join(series_span(counts, keys), keys), keys
+    counts = materialise(counts, "bucket_counts")
+    return join_on(counts, series_span(counts, keys), keys), keys
 
 
 def spikes(

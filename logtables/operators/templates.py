@@ -63,7 +63,7 @@ def pattern_counts(
     """``pattern, count, at``: occurrences and first place of each masked message."""
     return (
         events.select(
-            message_pattern(F.col(message)).alias("pattern"),
+            _pattern(message).alias("pattern"),
             order_number(order, events).alias("_ord"),
         )
         .groupBy("pattern")
@@ -72,6 +72,11 @@ def pattern_counts(
     )
 
 
+def _pattern(message: str) -> Column:
+    """The masked message; a null message has the empty pattern."""
+    return message_pattern(F.coalesce(F.col(message), F.lit("")))
+
+
 def _at(epoch: Column, order: Column) -> Column:
     return F.struct(
         epoch.cast("bigint").alias("epoch"),
@@ -293,7 +298,8 @@ def mine_book(
 
     Leaves are replayed in parallel. A leaf with more than ``chunk`` patterns goes
     in rounds: its first patterns are replayed, all others they cover are dropped
-    by a distributed join, and only what is left enters the next, larger round.
+    by a distributed join, and only what is left enters the next round. A task never
+    replays more than ``chunk`` patterns of a leaf.
     """
     pending = keyed.select("leaf", "pattern", "at")
     book = keyed.sparkSession.createDataFrame([], BOOK_SCHEMA) if known is None else known
@@ -316,7 +322,6 @@ def mine_book(
         through = book.join(pending.select("leaf").distinct(), "leaf", "left_anti")
         through = through.select(*book.columns)
         finished = through if finished is None else finished.unionByName(through)
-        chunk *= 4
 
 
 def mine_templates(
@@ -386,7 +391,7 @@ def assign_templates(
 ) -> DataFrame:
     """Events with the ``leaf`` and ``template_no`` they belong to at their place."""
     placed = events.withColumns(
-        {"pattern": message_pattern(F.col(message)), "_ord": order_number(order, events)}
+        {"pattern": _pattern(message), "_ord": order_number(order, events)}
     )
     at = _at(F.lit(epoch), F.col("_ord"))
     here = (F.col("since") <= at) & (F.col("until").isNull() | (at < F.col("until")))
@@ -399,10 +404,14 @@ def assign_templates(
 def tag_events(
     events: DataFrame, intervals: DataFrame, described: DataFrame, **place
 ) -> DataFrame:
-    """Events with ``template_id`` set."""
+    """Events with ``template_id`` set.
+
+    The ids go to the intervals, which are few; events are moved once.
+    """
     ids = described.select("leaf", "template_no", "template_id")
-    tagged = assign_templates(events.drop("template_id"), intervals, **place)
-    return tagged.join(ids, ["leaf", "template_no"]).drop("leaf", "template_no")
+    named = intervals.join(ids, ["leaf", "template_no"])
+    tagged = assign_templates(events.drop("template_id"), named, **place)
+    return tagged.drop("leaf", "template_no")
 
 
 def template_counts(
@@ -424,7 +433,7 @@ def template_counts(
         .select("pattern", *home)
         .join(keyed.select("pattern", "count"), "pattern")
     )
-    loose = events.withColumn("pattern", message_pattern(F.col(message)))
+    loose = events.withColumn("pattern", _pattern(message))
     loose = loose.join(moved, "pattern", "left_semi").drop("pattern")
     single = assign_templates(loose, intervals, message, order).select(
         *home, F.lit(1).cast("bigint").alias("count")

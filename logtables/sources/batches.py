@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logtables.functions.ids import event_id
 from logtables.functions.levels import FATAL
-from logtables.functions.times import parse_timestamp, utc, utc_date
+from logtables.functions.times import parse_iso, utc, utc_date
 from logtables.operators.numbering import numbered
 
 # The batch version, events per batch, and the name of an unnamed agent.
@@ -71,11 +71,6 @@ def pack_batches(
     )
 
 
-def _iso_time(text: Column) -> Column:
-    """Time of an ISO string; without a zone it is UTC."""
-    return F.coalesce(parse_timestamp(text), text.try_cast("timestamp"))
-
-
 def checked_batches(batches: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``agent_id``, ``events`` and ``reason``; the reason is NULL for a good batch."""
     read = F.from_json(
@@ -89,7 +84,7 @@ def checked_batches(batches: DataFrame, payload: str = "payload") -> DataFrame:
 
     def typed(e: Column) -> Column:
         return F.struct(
-            _iso_time(e["ts"]).alias("ts"),
+            parse_iso(e["ts"]).alias("ts"),
             e["level"].try_cast("int").alias("level"),
             e["source"].alias("source"),
             e["message"].alias("message"),

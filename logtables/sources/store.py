@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from logtables.schema import EVENT_SCHEMA
 from logtables.scratch import materialise
 
-# Dates looked up one by one; a batch spanning more is compared by date range.
-MAX_DATES = 366
-
 
 def dedup_events(events: DataFrame, order: Sequence[Column | str] = ("ingest_ts",)) -> DataFrame:
     """The first row of each event id along ``order``.
@@ -45,13 +42,21 @@ def count_events(events: DataFrame) -> DataFrame:
 def _same_dates(stored: DataFrame, events: DataFrame) -> DataFrame:
     """The stored partitions that can hold ids of ``events``.
 
-    An id fixes its event time, so copies share their date.
+    An id fixes its event time, so copies share their date. The dates of a batch are
+    as many as the days it spans, however many events it has.
     """
-    dates = [r[0] for r in events.select("event_date").distinct().limit(MAX_DATES + 1).collect()]
-    if len(dates) <= MAX_DATES:
-        return stored.filter(F.col("event_date").isin(dates))
-    low, high = events.agg(F.min("event_date"), F.max("event_date")).first()
-    return stored.filter(F.col("event_date").between(low, high))
+    dates = [r[0] for r in events.select("event_date").distinct().collect()]
+    return stored.filter(F.col("event_date").isin(dates))
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or no rows before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def append_events(events: DataFrame, path: str) -> None:

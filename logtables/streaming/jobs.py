@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logtables.operators import templates as T
-from logtables.operators.numbering import numbered
+from logtables.operators.numbering import join_on, numbered
 from logtables.operators.spikes import score_buckets
 from logtables.scratch import materialise
 from logtables.sources.store import append_events
@@ -109,11 +109,11 @@ def score_closed(
         return
     series = read_batches(spark, f"{path}/series", series_schema, number).drop("batch")
     begun = fresh.groupBy(*keys).agg(F.min("start_ms").alias("first_ms"))
-    write_batch(begun.join(series, keys, "left_anti"), f"{path}/series", number)
+    write_batch(join_on(begun, series, keys, "left_anti"), f"{path}/series", number)
     series = read_batches(spark, f"{path}/series", series_schema, number + 1).drop("batch")
 
     near = known.filter(F.col("start_ms") >= earliest - window * bucket_seconds * 1000)
-    scored = score_buckets(near.join(series, keys), keys, bucket_seconds, window, k, min_count)
+    scored = score_buckets(join_on(near, series, keys), keys, bucket_seconds, window, k, min_count)
     scored = scored.filter(F.col("batch") == number)
     columns = ("start_ms", "count", "mean", "stddev", "z_score", "is_anomaly")
     write_batch(scored.select(*keys, *columns), f"{path}/scored", number)
@@ -189,9 +189,10 @@ def tag_batch(
     ids = read_batches(spark, f"{path}/ids", _IDS, number + 1).drop("batch")
     home = ["leaf", "template_no"]
     named = book.select(*home, T.template_key(F.col("leaf"), F.col("pattern")).alias("template_key"))
-    intervals = T.assignment_intervals(keyed, book)
+    # names and ids go to the intervals, which are few; events are moved once
+    intervals = T.assignment_intervals(keyed, book).join(named, home).join(ids, home)
     tagged = T.assign_templates(events.drop("template_id"), intervals, message, order, number)
-    tagged = tagged.join(named, home).join(ids, home).drop(*home)
+    tagged = tagged.drop(*home)
     write_batch(tagged, f"{path}/events", number)
 
 

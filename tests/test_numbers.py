@@ -96,8 +96,7 @@ def test_rates(spark):
     assert at == {4: 2.0, 5: 1.4, 20: 0.0}
 
 
-def test_latest_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(health, "GROUP_LIMIT", 5)
+def test_latest_of_a_large_group(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.8 else "cold", rng.randint(0, 300), i, {"k": "v"}) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, v int, i int, m map<string,string>")
@@ -245,3 +244,34 @@ def test_cluster_text(spark):
     assert [tuple(r) for r in lt.template_table(top).collect()] == [
         ("1,200", "█" * 4, "a"), ("150", "", "b"), ("149", "", "c"),
     ]
+
+
+def test_null_series_and_agents_count(spark):
+    rows = [(None if i % 2 else "a", START + timedelta(seconds=i), f"e{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "template string, ts timestamp, event_id string")
+    got = lt.spikes(df, ["template"], include_open=True).groupBy("template").sum("count").collect()
+    assert {r.template: r[1] for r in got} == {None: 20, "a": 20}
+    assert {r.template for r in lt.recent_counts(df, ["template"]).collect()} == {None, "a"}
+    plan = lt.spikes(df, ["template"])._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan  # the events aren't read again, let alone twice
+    events = lt.parse_logs(df.select(F.col("event_id").alias("value"), "ts", F.col("template").alias("agent_id")).drop("ts"))
+    assert lt.pack_batches(events).agg(F.sum("n")).first()[0] == 40
+
+
+def test_summaries_are_kept(spark, tmp_path):
+    path, asked = str(tmp_path / "summaries"), str(tmp_path / "asked")
+    contexts = spark.createDataFrame([(f"f{i}", f"p{i}") for i in range(30)], "fingerprint string, prompt string")
+
+    def answer(prompt):
+        with open(asked, "a") as file:
+            file.write("x")
+        return None if prompt == "p3" else f"about {prompt}"
+
+    first = lt.summarize(contexts, path, answer)
+    assert lt.summary_hit_rate(first).first().hit_rate == pytest.approx(29 / 30)
+    with open(asked) as file:
+        assert len(file.read()) == 30
+    again = lt.summarize(contexts, path, lambda p: "late answer")
+    got = {r.fingerprint: r.summary for r in again.collect()}
+    assert got["f3"] == "late answer" and got["f4"] == "about p4"
+    assert lt.summary_hit_rate(again).first().hit_rate == 1.0

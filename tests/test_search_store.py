@@ -116,6 +116,12 @@ def test_first_copy_wins(events):
     assert "WindowGroupLimit" in plan
 
 
+def test_accents_as_marks_of_their_own(events):
+    df = events({"message": "two cafe\u0301s open"}, {"message": "caf\u00e9s shut"}, {"message": "cafe s"})
+    found = lt.search(df, text=["cafes"], now=NOW)
+    assert sorted(r.message for r in found.collect()) == ["caf\u00e9s shut", "two cafe\u0301s open"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "app.log").write_bytes(b'{"msg": "one"}\r\n\r\nWARN two\rthree \xff\n')
     (tmp_path / "db.log").write_text("four\n\n")
