@@ -3,11 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_held = threading.local()
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete what :func:`materialise` wrote inside, once the block is left.
+
+    For work whose result is stored elsewhere by then, such as a micro-batch.
+    """
+    before = getattr(_held, "paths", None)
+    _held.paths = []
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _held.paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+        _held.paths = before
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``.
 
@@ -26,5 +50,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    if getattr(_held, "paths", None) is not None:
+        _held.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

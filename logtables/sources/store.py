@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logtables.schema import EVENT_SCHEMA
-from logtables.scratch import materialise
+from logtables.scratch import materialise, released
 
 
 def dedup_events(events: DataFrame, order: Sequence[Column | str] = ("ingest_ts",)) -> DataFrame:
@@ -64,16 +64,17 @@ def append_events(events: DataFrame, path: str) -> None:
 
     One writer at a time: two would not see each other's rows.
     """
-    extra = [c for c in events.columns if c not in EVENT_SCHEMA.fieldNames()]
-    # written out once, since both the dates and the rows are needed from it
-    fresh = materialise(dedup_events(events), "append")
-    try:
-        stored = events.sparkSession.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    else:
-        fresh = unseen(fresh, _same_dates(stored, fresh))
-    fresh.select(*EVENT_SCHEMA.fieldNames(), *extra).write.mode("append").partitionBy(
-        "event_date"
-    ).parquet(path)
+    with released(events.sparkSession):
+        extra = [c for c in events.columns if c not in EVENT_SCHEMA.fieldNames()]
+        # written out once, since both the dates and the rows are needed from it
+        fresh = materialise(dedup_events(events), "append")
+        try:
+            stored = events.sparkSession.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            fresh = unseen(fresh, _same_dates(stored, fresh))
+        fresh.select(*EVENT_SCHEMA.fieldNames(), *extra).write.mode("append").partitionBy(
+            "event_date"
+        ).parquet(path)

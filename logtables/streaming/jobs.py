@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logtables.operators import templates as T
 from logtables.operators.numbering import join_on, numbered
 from logtables.operators.spikes import score_buckets
-from logtables.scratch import materialise
+from logtables.scratch import materialise, released
 from logtables.sources.store import append_events
 from logtables.streaming.tables import read_batches, schema_of, write_batch
 
@@ -154,13 +154,35 @@ def tag_batch(
     sim_threshold: float = T.SIM_THRESHOLD,
     max_children: int = T.MAX_CHILDREN,
     chunk: int = T.REPLAY_CHUNK,
+    store: str | None = None,
 ) -> None:
     """Go on mining with one micro-batch and write its events with their template.
 
     ``children`` keeps the tokens each node has taken, ``book`` the templates of
     the leaves a batch changed, ``ids`` the numbers given out, ``events`` the
-    result with ``template_id`` and ``template_key``.
+    result with ``template_id`` and ``template_key``. With ``store``, the result
+    goes to the event table of that path instead, each id once. What the batch
+    wrote on the way is deleted.
     """
+    with released(batch.sparkSession):
+        tagged = _tag(batch, number, path, message, order, depth, sim_threshold, max_children, chunk)
+        if store:
+            append_events(tagged, store)
+        else:
+            write_batch(tagged, f"{path}/events", number)
+
+
+def _tag(
+    batch: DataFrame,
+    number: int,
+    path: str,
+    message: str,
+    order: str,
+    depth: int,
+    sim_threshold: float,
+    max_children: int,
+    chunk: int,
+) -> DataFrame:
     spark = batch.sparkSession
     events = materialise(batch, "events")
     children = read_batches(spark, f"{path}/children", _CHILDREN, number).drop("batch")
@@ -192,8 +214,7 @@ def tag_batch(
     # names and ids go to the intervals, which are few; events are moved once
     intervals = T.assignment_intervals(keyed, book).join(named, home).join(ids, home)
     tagged = T.assign_templates(events.drop("template_id"), intervals, message, order, number)
-    tagged = tagged.drop(*home)
-    write_batch(tagged, f"{path}/events", number)
+    return tagged.drop(*home)
 
 
 def tag_templates(
@@ -203,16 +224,19 @@ def tag_templates(
     message: str = "message",
     order: str = "ts",
     trigger: dict | None = None,
+    store: str | None = None,
     **mining: int | float,
 ) -> StreamingQuery:
     """Tag events with templates as they arrive, into the table ``path/events``.
 
+    With ``store``, into the event table of that path, each id once.
+
     Batches count as arriving one after the other; ``order`` rules within a batch.
     ``mining`` sets ``depth``, ``sim_threshold`` or ``max_children``.
     """
 
     def tag(batch: DataFrame, number: int) -> None:
-        tag_batch(batch, number, path, message, order, **mining)
+        tag_batch(batch, number, path, message, order, store=store, **mining)
 
     return _each_batch(events, checkpoint, tag, trigger)
 
@@ -224,13 +248,28 @@ def start_all(
     by: Sequence[str] = (),
     bucket_seconds: int = 2,
     trigger: dict | None = None,
+    delay: str = DELAY,
 ) -> list[StreamingQuery]:
-    """Keep the events, watch the ERROR and FATAL ones for spikes, tag templates."""
+    """Keep the events with their template, watch the ERROR and FATAL ones for spikes.
+
+    Error events later than ``delay`` are kept, but no longer counted in a bucket.
+    """
     errors = events.filter("level >= 4")
     return [
-        keep_events(events, f"{path}/events", f"{checkpoint}/events", trigger),
+        tag_templates(
+            events,
+            f"{path}/templates",
+            f"{checkpoint}/templates",
+            trigger=trigger,
+            store=f"{path}/events",
+        ),
         watch_spikes(
-            errors, f"{path}/spikes", f"{checkpoint}/spikes", by, bucket_seconds, trigger=trigger
+            errors,
+            f"{path}/spikes",
+            f"{checkpoint}/spikes",
+            by,
+            bucket_seconds,
+            delay=delay,
+            trigger=trigger,
         ),
-        tag_templates(events, f"{path}/templates", f"{checkpoint}/templates", trigger=trigger),
     ]

@@ -182,10 +182,10 @@ def test_all_jobs_together(spark, drop, tmp_path):
     drop.put([line(500, "other thing"), line(2000, "last")])
     for query in jobs.start_all(drop.events(), str(tmp_path / "o"), str(tmp_path / "c"), trigger=ONCE):
         query.awaitTermination()
-    assert lt.read_events(spark, str(tmp_path / "o/events")).count() == 32
+    stored = lt.read_events(spark, str(tmp_path / "o/events"))
+    assert stored.count() == 32
     assert spark.read.parquet(str(tmp_path / "o/spikes/scored")).count() == 16
-    tagged = spark.read.parquet(str(tmp_path / "o/templates/events"))
-    assert [r[1] for r in sorted(tagged.groupBy("template_id").count().collect())] == [30, 1, 1]
+    assert [r[1] for r in sorted(stored.groupBy("template_id").count().collect())] == [30, 1, 1]
 
 
 def test_filter_and_search_on_a_stream(spark, drop, tmp_path):
