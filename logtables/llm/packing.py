@@ -11,6 +11,7 @@ classed anew.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -29,8 +30,8 @@ CAPACITY = 4096
 SHORTEST, WASTE = 32, 0.04
 #: Pieces that one worker numbers within a class.
 RUN = 50_000
-#: Pieces of text whose ids a worker keeps, and their longest length.
-KNOWN, LONGEST = 150_000, 64
+#: Words whose ids a worker keeps, besides as many from before.
+KNOWN = 400_000
 
 # Letters of which case, composition and class are the same to Python and to the tokenizer.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ſ]*")
@@ -46,38 +47,52 @@ class Tokens:
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        spec = json.load(open(path, encoding="utf-8"))  # tokenizer files are local everywhere
+        self.before: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         letters = "a-z\xdf-\xf6\xf8-\xffĀ-įı-ſ"
         self.words = re.compile(
             pattern.replace(r"\p{L}", letters).replace(r"\p{N}", "0-9"), re.ASCII
         )
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        end = spec["model"]["end_of_word_suffix"]
+        vocabulary = spec["model"]["vocab"]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """All new words as one text: the last id of each has the end-of-word mark."""
+        ids = self._encoded(" ".join(words))
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):
+            for word in words:
+                self.known[word] = self._encoded(word).tobytes()
+            return
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self.known[word] = data[at:end]
+            at = end
 
     def ids(self, text: str) -> bytes:
         if _SPECIAL in text or not _PLAIN.fullmatch(text):
-            return self._encoded([text])[0]
+            return self._encoded(text).tobytes()
         words = self.words.findall(text.lower())
-        known = self.known
+        if len(self.known) > KNOWN:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         new = [w for w in set(words) if w not in known]
         if new:
-            if len(known) > KNOWN:
-                known = self.known = {}
-                new = list(set(words))
-            known.update(zip(new, self._encoded(new)))
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > KNOWN:
-            self.known = {}
-        return out
+            known.update((w, before[w]) for w in new if w in before)
+            if new := [w for w in new if w not in before]:
+                self._learn(new)
+        return b"".join(map(known.__getitem__, words))
 
 
 def cuts(length: int, capacity: int, shortest: int, waste: float) -> list[int]:
