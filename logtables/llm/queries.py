@@ -11,7 +11,7 @@ from logtables.llm.decontaminate import find_passages
 from logtables.llm.jaccard_join import jaccard_classes
 from logtables.llm.kd_shards import shard
 from logtables.llm.language_id import identify, learn
-from logtables.llm.license_scan import scan_licenses
+from logtables.llm.license_scan import TEMPLATES, scan_licenses
 from logtables.llm.line_dedup import drop_recurring
 from logtables.llm.packing import pack
 from logtables.llm.pseudonyms import KINDS, replace_private
@@ -285,3 +285,102 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(number(kind).alias(f"n_{kind}") for kind, *_ in KINDS),
         F.array_join(as_text, ",").alias("spans"),
     )
+
+
+ORACLES["op10_line_templates"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as lines from documents),
+l as (
+  select r, doc_id, text, unnest(range(len(lines))) as i,
+    unnest(list_transform(lines, lambda x: list_transform(
+      list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+      lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end))) as tok
+  from d),
+m as (
+  select *, len(tok) as n, list_slice(tok, 1, 3) as lead,
+    case when len(tok) >= 50 then 3 else 10 end as needed
+  from l where len(tok) >= 3),
+leaves as (
+  select n, lead from m group by n, lead, needed having count(distinct text) >= needed),
+weights as (
+  select tok, n, lead, needed, count(distinct text) as weight
+  from m join leaves using (n, lead) group by all),
+fields as (
+  select tok, n, lead, needed, weight, unnest(range(n)) as place, unnest(tok) as token from weights),
+support as (select n, lead, place, token, sum(weight) as s from fields group by all),
+general as (
+  select tok, n, lead, count(*) filter (s >= needed) as n_fixed,
+    list(case when s >= needed then token else '<*>' end order by place) as shape
+  from fields join support using (n, lead, place, token) group by all),
+templates as (
+  select tok, n, lead, case when 100 * n_fixed >= 70 * n then shape else tok end as template from general),
+recurring as (
+  select lead, template, min(doc_id) as first
+  from m join templates using (tok, n, lead) group by lead, template, needed
+  having count(distinct text) >= needed),
+gone as (
+  select r, i from m join templates using (tok, n, lead) join recurring using (lead, template)
+  where doc_id <> first),
+kept as (
+  select r, unnest(range(len(lines))) as i, unnest(lines) as line from d),
+texts as (
+  select r, count(gone.i) as n_dropped,
+    string_agg(line, chr(10) order by i) filter (gone.i is null) as text
+  from kept left join gone using (r, i) group by r)
+select doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines,
+  cast(coalesce(n_dropped, 0) as bigint) as n_dropped,
+  case when d.text is not null then coalesce(texts.text, '') end as text
+from d left join texts using (r)
+"""
+
+
+def _licenses_sql() -> str:
+    known = [(name, t) for name in sorted(TEMPLATES) for t in TEMPLATES[name]]
+    rows = ", ".join(
+        "({}, '{}', '{}')".format(rank, name, text.replace("'", "''"))
+        for rank, (name, text) in enumerate(known)
+    )
+
+    def words(text: str) -> str:
+        lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return rf"string_split(trim(regexp_replace({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"
+
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g"
+    return rf"""
+with templates as (
+  select rank, name, {grams}
+  from (select rank, name, {words("t")} as w from (values {rows}) v(rank, name, t)) q),
+d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t,
+    regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') as parts
+  from documents),
+units as (
+  select r, 0 as kind, 'line' as unit, unnest(range(len(string_split(t, chr(10))))) as place,
+    unnest(string_split(t, chr(10))) as u from d
+  union all select * from (
+    select r, 1, 'paragraph', unnest(range(len(parts))) as place, unnest(parts) as u from d) q
+  where contains(u, chr(10))
+  union all select r, 2, 'text', 0, t from d where len(parts) > 1),
+grams as (
+  select r, kind, unit, place, {grams}
+  from (select r, kind, unit, place, {words("u")} as w from units where len(u) > 4) q),
+scored as (
+  select r, kind, unit, place, name, rank, 200 * len(list_intersect(grams.g, templates.g)) as hit,
+    len(grams.g) + len(templates.g) as size
+  from grams join templates on
+    200 * least(len(grams.g), len(templates.g)) >= 80 * (len(grams.g) + len(templates.g))
+  where len(grams.g) > 0),
+best as (
+  select r, kind, unit, place, arg_max(name, {{'d': hit // size, 'k': -rank}}) as name, max(hit // size) as dice
+  from scored where hit >= 80 * size group by all),
+found as (
+  select r, count(*) as n, string_agg(distinct name, ',' order by name) as names,
+    string_agg(name || ':' || dice || ':' || unit || ':' || place, ',' order by kind, place) as found
+  from best group by r)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_licenses, coalesce(names, '') as names,
+  coalesce(found, '') as found
+from d left join found using (r)
+"""
+
+
+ORACLES["op5_license_scan"] = _licenses_sql()
