@@ -504,6 +504,20 @@ def assign_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("arrival", "template_id")
 
 
+@query
+def search_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events of the first template."""
+    events = materialise(views.log_events(spark, sf_dir), "events")
+    keyed, book = templates.mine_templates(templates.pattern_counts(events, order="arrival"))
+    intervals = materialise(templates.assignment_intervals(keyed, book), "intervals")
+    tagged = templates.tag_events(
+        events, intervals, templates.describe_templates(book), order="arrival"
+    )
+    path = scratch_path(spark, "stored")
+    store.append_events(tagged, path)
+    return _rows(store.read_events(spark, path).filter("template_id = 0"))
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log events with the masked message as their cluster."""
     events = views.log_events(spark, sf_dir)

@@ -6,13 +6,17 @@ of each leaf meet the templates that its leaf has by then.
 
 from __future__ import annotations
 
-from logtables.plans.oracles import _LEVEL_STEP, _LOGS, _PATTERNS, _TOKENS, pattern
+from logtables.plans.oracles import EVENTS, ROW, _LEVEL_STEP, _LOGS, _PATTERNS, _TOKENS, pattern
 
 _LINES = _PATTERNS.replace("with ", "with recursive ", 1)
 _LOG_LINES = f"""with recursive logs as ({_LOGS}),
 placed as (select {pattern("raw")} as pattern, arrival as ord from logs),
 patterns as (select pattern, count(*) as count, min(ord) as first from placed group by pattern)"""
 
+_EVENT_LINES = EVENTS.replace("with ", "with recursive ", 1) + f""",
+placed as (select {pattern("message")} as pattern, arrival as ord from events),
+patterns as (select pattern, count(*) as count, min(ord) as first from placed group by pattern)"""
+
 _FOLD = f""",
 keys0 as (
  select *, cast(len(tokens) as varchar) as leaf0, tokens[1] as t1, tokens[2] as t2
@@ -71,4 +75,6 @@ TEMPLATE_ORACLES = {
         select template_id, template, count(*) as count from tagged group by all""",
     "assign_templates": _TAGGED_LOGS,
     "stream_templates": _TAGGED_LOGS,
+    "search_template": f"""{_EVENT_LINES}{_FOLD}{_HOMES}
+        select {ROW} from events join tagged on arrival = ord where template_id = 0""",
 }
