@@ -23,26 +23,30 @@ MIN_WORDS, FIXED = 3, 70
 _VARIABLE = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    found = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    return F.transform(found, lambda t: F.when(t.rlike("[0-9]"), _VARIABLE).otherwise(t))
+def _masked(line: Column) -> Column:
+    """The line's tokens with one space between, those with a digit as variables."""
+    spaced = F.when(
+        line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"),
+        F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")),
+    ).otherwise(line)
+    return F.when(
+        spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", _VARIABLE)
+    ).otherwise(spaced)
 
 
 def _lines(documents: DataFrame, min_words: int, depth: int) -> DataFrame:
+    """``line`` (masked), its token count, leaf and key, for lines of enough tokens."""
     lines = documents.select(
         "doc_id",
         F.xxhash64("text").alias("text_key"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
+        F.posexplode(F.transform(F.split("text", "\n"), _masked)).alias("line_no", "line"),
     )
-    tokens = lines.select("doc_id", "text_key", "line_no", _tokens(F.col("line")).alias("tokens"))
-    tokens = tokens.filter(F.size("tokens") >= min_words)
-    return tokens.withColumns(
+    n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(n))
+    return lines.filter(F.col("n") >= min_words).withColumns(
         {
-            "n": F.size("tokens"),
-            "leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)),
-            "line_key": F.struct(
-                F.xxhash64("tokens").alias("a"), F.hash("tokens").alias("b")
-            ),
+            "leaf": F.xxhash64("n", F.substring_index("line", " ", depth)),
+            "line_key": F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")),
         }
     )
 
@@ -63,7 +67,7 @@ def recurring_lines(
     """
     needed = F.when(F.col("n") >= long_words, long_docs).otherwise(min_docs)
     lines = _lines(documents, min_words, depth)
-    places = materialise(lines.drop("tokens"), "lines")
+    places = materialise(lines.drop("line"), "lines")
     held = places.groupBy("leaf", "n", "line_key", "text_key").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))).alias("first")
     )
@@ -78,11 +82,12 @@ def recurring_lines(
         .groupBy("leaf", "n", "line_key").agg(F.count("*").alias("weight"))
     )
     texts = (
-        lines.select("line_key", "tokens")
+        lines.select("line_key", "line")
         .join(weights.select("line_key"), "line_key", "left_semi")
-        .groupBy("line_key").agg(F.first("tokens").alias("tokens"))
+        .groupBy("line_key").agg(F.first("line").alias("line"))
     )
-    distinct = materialise(weights.join(texts, "line_key"), "distinct_lines")
+    distinct = weights.join(texts, "line_key").withColumn("tokens", F.split("line", " "))
+    distinct = materialise(distinct.drop("line"), "distinct_lines")
     fields = distinct.select(
         "leaf", "n", "line_key", "weight", F.posexplode("tokens").alias("place", "token")
     )
