@@ -166,11 +166,14 @@ def learn(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mo
     about that many. Counting is distributed; at most SLOTS numbers per language come back.
     """
     rows = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count()
-    share = F.least(F.lit(1.0), rows_per_language / F.col("count"))
-    rows = rows.join(sizes, "lang").filter(
-        F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)
-    )
+    # only languages of many rows are thinned, and there can't be many of those
+    large = rows.groupBy("lang").count().filter(F.col("count") > rows_per_language).collect()
+    place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20))
+    taken = F.lit(True)
+    for lang, n in large:
+        share = int((1 << 20) * rows_per_language / n)
+        taken = F.when(F.col("lang") == lang, place < share).otherwise(taken)
+    rows = rows.filter(taken)
     counted = rows.select("text", "lang").mapInArrow(_count, "lang string, kind int, slot int, n bigint")
     table = counted.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
