@@ -90,5 +90,5 @@ def duration_seconds(value: str | int) -> int:
         return value
     found = re.fullmatch(r"([0-9]+)([smhd])", value)
     if not found:
-        raise ValueError(f"invalid duration {value!r} (expected e.g. 5m, 2h, 1d)")
+        raise ValueError(f"not a duration: {value!r}; write a number and one of s, m, h, d")
     return int(found[1]) * DURATION_SECONDS[found[2]]

@@ -18,6 +18,9 @@ from logtables.sources.store import read_or_empty
 SAMPLES = 20
 PROMPT_LINES = 15
 SUMMARY_TIMEOUT = 8.0
+# The form of a prompt, and of its line for the time range.
+PROMPT = "Template: %s\nOccurrences: %s\n%sSample lines:\n%s"
+PROMPT_RANGE = "Time range: %s\n"
 # Summaries that a task asks for at the same time.
 ASKERS = 8
 
@@ -37,17 +40,16 @@ def cluster_samples(
 def prompt_text(
     template: Column, count: Column, samples: Column, time_range: Column | None = None
 ) -> Column:
-    """Template, occurrences, optional time range, and the first sample lines."""
-    parts = [
-        F.concat(F.lit("Template: "), template),
-        F.concat(F.lit("Occurrences: "), count.cast("string")),
-    ]
+    """Template, occurrences, optional time range, and the first sample lines.
+
+    Without a time range (null or empty) its line is left out.
+    """
+    shown = F.lit("")
     if time_range is not None:
-        shown = F.nullif(time_range, F.lit(""))
-        parts.append(F.concat(F.lit("Time range: "), shown))
+        known = F.nullif(time_range, F.lit(""))
+        shown = F.when(known.isNull(), "").otherwise(F.format_string(PROMPT_RANGE, known))
     quoted = F.array_join(F.slice(samples, 1, PROMPT_LINES), "\n")
-    parts.append(F.concat(F.lit("Sample lines:\n"), quoted))
-    return F.concat_ws("\n", *parts)
+    return F.format_string(PROMPT, template, count.cast("string"), shown, quoted)
 
 
 def cluster_context(

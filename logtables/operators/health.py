@@ -132,18 +132,20 @@ def health_snapshot(
     return one[0].join(one[1], "_one").join(one[2], "_one").drop("_one")
 
 
+# The form of the status line, and of its part for kept summaries.
+STATUS = "in %s/s  |  q %d  |  lag %dms  |  clusters %d  |  total %d"
+STATUS_HITS = "  |  ai-cache %d%%"
+
+
 def status_line(
     snapshot: DataFrame, queue_depth: int = 0, hit_rate: Column | float | None = None
 ) -> DataFrame:
     """The snapshot as one line of text."""
-    parts = [
-        F.format_string("in %s/s", F.col("ingest_per_s").cast("string")),
-        F.lit(f"q {queue_depth}"),
-        F.format_string("lag %dms", "ingest_lag_ms"),
-        F.format_string("clusters %d", "clusters"),
-        F.format_string("total %d", "events_total"),
-    ]
+    values = [F.col("ingest_per_s").cast("string"), F.lit(queue_depth), "ingest_lag_ms"]
+    values += ["clusters", "events_total"]
+    shape = STATUS
     if hit_rate is not None:
         rate = hit_rate if isinstance(hit_rate, Column) else F.lit(hit_rate)
-        parts.append(F.format_string("ai-cache %d%%", (rate * 100).cast("int")))
-    return snapshot.withColumn("status", F.concat_ws("  |  ", *parts))
+        shape += STATUS_HITS
+        values.append((rate * 100).cast("int"))
+    return snapshot.withColumn("status", F.format_string(shape, *values))
