@@ -5,10 +5,10 @@ Two documents link when 100 * |intersection| >= percent * |union| of their shing
 1. Equal sets collapse to one (a digest of the set).
 2. Routing. Sets that link differ in few shingles: for sizes up to ``hi`` in at most
    k = floor((100 - percent) * 2 * hi / (100 + percent)). Shingles are dealt into more than
-   k parts by the leading bits of their hash, so some part that isn't empty has no
-   difference, and its digest is a key both sets emit. The few sets with too many empty
-   parts also emit their leading shingles, of which linked sets share one. Whatever links
-   therefore meets under a key; unrelated sets practically never do.
+   k parts by the leading bits of their hash, so that more than k parts have two shingles or
+   more. Some of these then has no difference, and its digest is a key both sets emit. The
+   few sets with too many small parts also emit their leading shingles, of which linked sets
+   share one. Whatever links therefore meets under a key; unrelated sets hardly ever do.
 3. The sets that meet, directly or over others, form a group. Within a group, cut into
    blocks of bounded size, T-occurrence search by DivideSkip finds the links: short
    inverted lists are merged by a heap, long ones probed by bisection, and a set stays when
@@ -90,7 +90,8 @@ def _band(n: int, percent: int) -> tuple[int, int, int]:
     while n >= high:
         number, low, high = number + 1, high, int(high * BAND)
     most = (100 - percent) * 2 * (high - 1) // (100 + percent)
-    return number, most, most + 1 + (0 if most == 0 else 1 + most // 32)
+    spare = 2 + most * (100 - percent) // 130  # for parts of fewer than two shingles
+    return number, most, most + 1 + (spare if most else 0)
 
 
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -101,12 +102,15 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     for number, most, parts in dict.fromkeys((own, largest)):
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        full = np.diff(np.r_[starts, n]) >= (2 if most else 1)
         sums = np.add.reduceat(_mixed(tokens, 0xC2B2AE3D27D4EB4F), starts)
         # the digest of a part: its number, count and shingles
         tag = part[starts] + np.uint64(number * 0x100000000)
         keys = _mixed(_mixed(sums, 0x9E3779B97F4A7C15) + tag, 0xD6E8FEB86659FD93)
-        out.append(keys)
-        if len(starts) <= most:  # too many empty parts: share a leading shingle instead
+        out.append(keys[full])
+        # the most that a set of this size can differ in from one it links with
+        differ = min(most, (100 - percent) * (n + n * 100 // percent) // (100 + percent))
+        if full.sum() <= differ:  # too many small parts: share a leading shingle instead
             lead = tokens[: n - -(-n * percent // 100) + 1]
             out.append(_mixed(lead + np.uint64(number + 1), 0xA0761D6478BD642F))
     return np.unique(np.concatenate(out))
