@@ -15,8 +15,8 @@ from logtables.scratch import materialise
 
 #: Leading tokens that choose a leaf; documents that make a template recurring.
 DEPTH, MIN_DOCS = 3, 10
-#: A line this long recurs by chance in no two texts, so fewer documents will do.
-LONG_WORDS, LONG_DOCS = 50, 3
+#: A line this long recurs by chance in no two texts, so two will do.
+LONG_WORDS, LONG_DOCS = 50, 2
 #: Shortest line that can be a template, and the percentage of its tokens that must be fixed.
 MIN_WORDS, FIXED = 3, 70
 
