@@ -17,36 +17,63 @@ from logtables.scratch import materialise
 DEPTH, MIN_DOCS = 3, 10
 #: A line this long recurs by chance in no two texts, so two will do.
 LONG_WORDS, LONG_DOCS = 50, 2
-#: Shortest line that can be a template, and the percentage of its tokens that must be fixed.
+#: Shortest line that can be a template, and the percentage of its tokens that must be fixed
+#: words; variables don't count.
 MIN_WORDS, FIXED = 3, 70
 
 _VARIABLE = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens with one space between, those with a digit as variables."""
-    spaced = F.when(
+def _spaced(line: Column) -> Column:
+    """The line's tokens with one space between."""
+    return F.when(
         line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"),
         F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")),
     ).otherwise(line)
+
+
+def _masked(spaced: Column) -> Column:
+    """Tokens with a digit as variables."""
     return F.when(
         spaced.rlike("[0-9]"), F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", _VARIABLE)
     ).otherwise(spaced)
 
 
-def _lines(documents: DataFrame, min_words: int, depth: int) -> DataFrame:
-    """``line`` (masked), its token count, leaf and key, for lines of enough tokens."""
+def _n_words(line: Column) -> Column:
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(line == "", 0).otherwise(n)
+
+
+def _lines(documents: DataFrame, min_words: int, depth: int, fixed: int) -> DataFrame:
+    """``line`` (masked), its token count, leaf and key, for lines of enough tokens.
+
+    A line whose masked tokens leave too few words fixed is taken as it stands, in a leaf of
+    its own: rows of numbers that differ are different lines.
+    """
+
+    def both(spaced: Column) -> Column:
+        return F.struct(spaced.alias("raw"), _masked(spaced).alias("line"))
+
     lines = documents.select(
         "doc_id",
         F.xxhash64("text").alias("text_key"),
-        F.posexplode(F.transform(F.split("text", "\n"), _masked)).alias("line_no", "line"),
+        F.posexplode(F.transform(F.transform(F.split("text", "\n"), _spaced), both)).alias(
+            "line_no", "both"
+        ),
+    ).select("doc_id", "text_key", "line_no", "both.raw", "both.line")
+    lines = lines.withColumn("n", _n_words(F.col("line"))).filter(F.col("n") >= min_words)
+    masked = F.when(
+        F.col("line").contains(_VARIABLE), F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))
+    ).otherwise(0)
+    alone = 100 * (F.col("n") - masked) < fixed * F.col("n")
+    lines = lines.withColumn("alone", alone).withColumn(
+        "line", F.when(F.col("alone"), F.col("raw")).otherwise(F.col("line"))
     )
-    n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(n))
-    return lines.filter(F.col("n") >= min_words).withColumns(
+    first = F.when(F.col("alone"), F.col("line")).otherwise(F.substring_index("line", " ", depth))
+    return lines.drop("raw").withColumns(
         {
-            "leaf": F.xxhash64("n", F.substring_index("line", " ", depth)),
-            "line_key": F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b")),
+            "leaf": F.xxhash64("n", "alone", first),
+            "line_key": F.struct(F.xxhash64("line").alias("a"), F.hash("line", "alone").alias("b")),
         }
     )
 
@@ -66,8 +93,8 @@ def recurring_lines(
     The first document is the one with the smallest doc_id, null last.
     """
     needed = F.when(F.col("n") >= long_words, long_docs).otherwise(min_docs)
-    lines = _lines(documents, min_words, depth)
-    places = materialise(lines.drop("line"), "lines")
+    lines = _lines(documents, min_words, depth, fixed)
+    places = materialise(lines.drop("line", "alone"), "lines")
     held = places.groupBy("leaf", "n", "line_key", "text_key").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))).alias("first")
     )
@@ -93,7 +120,7 @@ def recurring_lines(
     )
     support = fields.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("support"))
     marked = fields.join(support, ["leaf", "place", "token"]).withColumn(
-        "is_fixed", F.col("support") >= needed
+        "is_fixed", (F.col("support") >= needed) & (F.col("token") != _VARIABLE)
     )
     field = F.struct("place", F.when(F.col("is_fixed"), F.col("token")).otherwise(_VARIABLE).alias("t"))
     general = marked.groupBy("line_key").agg(
