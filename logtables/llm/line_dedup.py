@@ -4,11 +4,15 @@ A fixed-depth tree over lines: token count, then the leading tokens (those with
 as a variable). Lines that share a leaf are generalised there: a token that too few lines of
 the leaf have at that place is a variable field. A line's template is what stays. Only lines
 of leaves that enough documents reach are looked at closer, each distinct line once.
+
+A passage may be wrapped over several lines. Each line that another text has too starts and
+ends the shortest run of such lines with enough words; the runs that two texts share cover
+every longer passage that they share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtables.scratch import materialise
@@ -45,23 +49,27 @@ def _n_words(line: Column) -> Column:
 
 
 def _lines(documents: DataFrame, min_words: int, depth: int, fixed: int) -> DataFrame:
-    """``line`` (masked), its token count, leaf and key, for lines of enough tokens.
+    """``line`` (masked), its token count, number among such lines (``seq``), leaf and key, for
+    lines of enough tokens.
 
     A line whose masked tokens leave too few words fixed is taken as it stands, in a leaf of
     its own: rows of numbers that differ are different lines.
     """
 
-    def both(spaced: Column) -> Column:
-        return F.struct(spaced.alias("raw"), _masked(spaced).alias("line"))
+    def both(spaced: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("line_no"),
+            spaced.alias("raw"),
+            _masked(spaced).alias("line"),
+            _n_words(spaced).alias("n"),
+        )
 
+    every = F.transform(F.transform(F.split("text", "\n"), _spaced), both)
     lines = documents.select(
         "doc_id",
         F.xxhash64("text").alias("text_key"),
-        F.posexplode(F.transform(F.transform(F.split("text", "\n"), _spaced), both)).alias(
-            "line_no", "both"
-        ),
-    ).select("doc_id", "text_key", "line_no", "both.raw", "both.line")
-    lines = lines.withColumn("n", _n_words(F.col("line"))).filter(F.col("n") >= min_words)
+        F.posexplode(F.filter(every, lambda x: x["n"] >= min_words)).alias("seq", "both"),
+    ).select("doc_id", "text_key", "seq", "both.*")
     masked = F.when(
         F.col("line").contains(_VARIABLE), F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))
     ).otherwise(0)
@@ -78,6 +86,84 @@ def _lines(documents: DataFrame, min_words: int, depth: int, fixed: int) -> Data
     )
 
 
+def _runs(
+    places: DataFrame, held: DataFrame, long_words: int, long_docs: int, min_words: int
+) -> DataFrame:
+    """Places of lines in recurring runs of two or more lines with ``long_words`` words.
+
+    Lines too short to be a template neither count nor interrupt.
+    """
+    shared = held.groupBy("line_key").agg(F.count("*").alias("texts"))
+    shared = shared.filter(F.col("texts") >= long_docs).select("line_key")
+    line = F.struct("seq", "line_no", "n", "line_key")
+    own = Window.partitionBy("doc_id", "text_key").orderBy("seq")
+    most = -(-long_words // min_words) - 1
+    around = (
+        places.join(shared, "line_key", "left_semi")
+        .dropDuplicates(["doc_id", "text_key", "seq"])
+        .withColumn("at", line)
+        .select(
+            "doc_id",
+            "text_key",
+            F.collect_list("at").over(own.rowsBetween(0, most)).alias("ahead"),
+            F.reverse(F.collect_list("at").over(own.rowsBetween(-most, 0))).alias("behind"),
+        )
+    )
+
+    def shortest(lines: Column, step: int) -> Column:
+        """The first lines that are consecutive and have enough words; null if there are none."""
+        start = F.struct(
+            F.lit(0).alias("words"), F.lit(0).alias("size"), F.get(lines, 0)["seq"].alias("seq")
+        )
+
+        def more(a: Column, x: Column) -> Column:
+            grown = F.struct(
+                (a["words"] + x["n"]).alias("words"),
+                (a["size"] + 1).alias("size"),
+                (a["seq"] + step).alias("seq"),
+            )
+            return F.when((a["words"] < long_words) & (x["seq"] == a["seq"]), grown).otherwise(a)
+
+        end = F.aggregate(lines, start, more)
+        return F.element_at(
+            F.transform(
+                F.array(end),
+                lambda e: F.when(
+                    (e["words"] >= long_words) & (e["size"] > 1),
+                    F.slice(lines, F.lit(1), e["size"]),
+                ),
+            ),
+            1,
+        )
+
+    runs = around.select(
+        "doc_id",
+        "text_key",
+        F.explode(F.array(shortest(F.col("ahead"), 1), shortest(F.col("behind"), -1))).alias("run"),
+    ).filter(F.col("run").isNotNull())
+    keys = F.transform(F.sort_array("run"), lambda x: x["line_key"])
+    runs = runs.select(
+        "doc_id",
+        "text_key",
+        F.struct(F.xxhash64(keys).alias("a"), F.hash(keys).alias("b")).alias("run_key"),
+        F.transform("run", lambda x: x["line_no"]).alias("line_nos"),
+    )
+    runs = materialise(runs, "runs")
+    counted = (
+        runs.groupBy("run_key", "text_key")
+        .agg(
+            F.min(
+                F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+            ).alias("first")
+        )
+        .groupBy("run_key").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
+        .filter(F.col("docs") >= long_docs)
+    )
+    return runs.join(counted, "run_key").select(
+        "doc_id", "text_key", F.explode("line_nos").alias("line_no"), "docs", "first"
+    )
+
+
 def recurring_lines(
     documents: DataFrame,
     depth: int = DEPTH,
@@ -87,7 +173,8 @@ def recurring_lines(
     min_words: int = MIN_WORDS,
     fixed: int = FIXED,
 ) -> DataFrame:
-    """``line_key``, ``docs`` (texts with the template) and the first document that has it.
+    """Places of recurring lines, ``docs`` (texts with the template) and the first document
+    that has it; a line of several recurring runs comes once for each.
 
     Equal whole texts count once, as copies of a document say nothing about its lines.
     The first document is the one with the smallest doc_id, null last.
@@ -138,17 +225,15 @@ def recurring_lines(
         F.count("*").alias("docs"), F.min("first").alias("first")
     )
     recurring = counted.filter(F.col("docs") >= needed).drop("n")
-    return (
-        templates.join(recurring, "template")
-        .join(places, "line_key")
-        .select(
-            "doc_id",
-            "text_key",
-            "line_no",
-            "docs",
-            F.col("first.doc_id").alias("first_id"),
-            F.col("first.text_key").alias("first_key"),
-        )
+    found = templates.join(recurring, "template").join(places, "line_key")
+    found = found.select("doc_id", "text_key", "line_no", "docs", "first")
+    return found.unionByName(_runs(places, held, long_words, long_docs, min_words)).select(
+        "doc_id",
+        "text_key",
+        "line_no",
+        "docs",
+        F.col("first.doc_id").alias("first_id"),
+        F.col("first.text_key").alias("first_key"),
     )
 
 

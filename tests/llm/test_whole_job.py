@@ -1,5 +1,7 @@
 """Cases that the operators once cut short."""
 
+import random
+
 from logtables.llm import line_dedup
 
 from . import brute
@@ -19,10 +21,10 @@ def left(spark, rows):
 
 def test_long_line_of_two_documents_goes(spark):
     long, short = words(50, "p"), words(49, "q")
-    rows = [(i, f"{words(6, f'own{c}')}\n{long}\n{short}") for i, c in enumerate("xy")]
+    rows = [(i, f"{short}\n{words(6, f'own{c}')}\n{long}") for i, c in enumerate("xy")]
     rows += [(5 + i, f"{words(60, 'copy')}\nequal texts count once") for i in range(2)]
     gone = brute.dropped_lines(rows, long_docs=2)
-    assert gone == [[], [1], [], []]
+    assert gone == [[], [2], [], []]
     assert [n for *_, n in left(spark, rows)] == [len(x) for x in gone]
 
 
@@ -37,3 +39,65 @@ def test_rows_of_numbers_that_differ_stay(spark):
     ]
     want = [(i, t if i == 10 or i > 90 else "\n".join(t.split("\n")[:2])) for i, t in rows]
     assert [(i, t) for i, t, _ in left(spark, rows)] == want
+
+
+def runs_dropped(rows):
+    """Numbers of the lines that stand in a run of 50 words that a text before has too."""
+
+    def lines(text):
+        cut = [(i, tuple(brute.words(x))) for i, x in enumerate(text.split("\n"))]
+        return [(i, w) for i, w in cut if len(w) >= 3]
+
+    def common(a, b):
+        """Places in ``a`` of the runs it shares with ``b``."""
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if i and j and a[i - 1][1] == b[j - 1][1]:
+                    continue
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                    n += 1
+                if n > 1 and sum(len(w) for _, w in a[i : i + n]) >= 50:
+                    yield from (k for k, _ in a[i : i + n])
+
+    out = []
+    for _, text in rows:
+        found = set()
+        for other in rows[: len(out)]:
+            found |= set(common(lines(text), lines(other[1])))
+        out.append(found)
+    return out
+
+
+def test_wrapped_passage_of_two_documents_goes(spark):
+    passage = "\n".join(words(10, t) for t in "abcdef")
+    rows = [
+        (1, f"{words(8, 'mine')}\n{passage}\n{words(8, 'end')}"),
+        (2, f"{words(7, 'yours')}\n{passage}"),
+        (3, "\n".join(passage.split("\n")[:4]) + f"\n{words(7, 'forty')}"),
+    ]
+    assert left(spark, rows) == [(*rows[0], 0), (2, words(7, "yours"), 6), (*rows[2], 0)]
+
+
+def test_runs_equal_all_pairs(spark):
+    rng = random.Random(1)
+    # as many words as 3 to 49, so that no line is long by itself
+    pool = [words(n, f"line{'abcdefghijklmnopqrstuvwxyz'[k]}") for k, n in enumerate(rng.choices([3, 5, 12, 20, 30, 49], k=26))]
+    rows = []
+    for i in range(60):
+        own = [words(4, f"own{chr(200 + i)}")]
+        at = rng.randrange(20)
+        run = pool[at : at + rng.randrange(2, 8)]
+        if rng.random() < 0.5:
+            run.insert(rng.randrange(len(run)), rng.choice(["", "two words", own[0]]))
+        rows.append((i, "\n".join(own + run + pool[:1] * (i % 2))))
+    want = runs_dropped(rows)
+    alone = brute.dropped_lines(rows, min_docs=100, long_docs=2)
+    assert not any(alone) and sum(map(len, want)) > 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = line_dedup.drop_recurring(docs, min_docs=100).select("document.doc_id", "text", "n_dropped")
+    cut = [
+        (i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone))
+        for (i, t), gone in zip(rows, want)
+    ]
+    assert sorted(map(tuple, found.collect())) == cut
