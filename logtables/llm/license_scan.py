@@ -3,6 +3,9 @@
 Each scanned unit (a line, a paragraph, the whole text) and each template is a set of word
 bigrams. Their Dice coefficient 2|A & B| / (|A| + |B|) can reach a threshold t only if
 |A| lies between t/(2-t) and (2-t)/t times |B|, so most templates are never compared.
+
+A notice may share its unit with other words. Windows of as many words as a template slide
+over what no unit took, in texts that have enough of the template's bigrams: t/(2-t) |B|.
 """
 
 from __future__ import annotations
@@ -85,6 +88,9 @@ TEMPLATES = {
     ),
 }
 
+#: Stands for a word that a unit took; no template has it.
+_TAKEN = "\ue000"
+
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -135,7 +141,9 @@ def scan_licenses(
     unit that a template fits, the best template of it, ties to the first name.
 
     Units are the lines, the paragraphs of more than one line, and the whole text if it has
-    several paragraphs; ``place`` is the number of the line or paragraph from 0. ``dice`` is
+    several paragraphs; ``place`` is the number of the line or paragraph from 0. Windows of
+    the words outside these are units too (``place`` is their first word); of those that
+    overlap the one with most in common counts. ``dice`` is
     a percentage, rounded down. A null or empty text has none. Templates of fewer than two
     words have no bigrams and fit nothing. Rows that repeat each have their own result; other
     columns are ignored.
@@ -207,4 +215,117 @@ def scan_licenses(
         none = F.array().cast("array<struct<license:string,dice:int,unit:string,place:int>>")
         return documents.select("doc_id", none.alias("licenses"))
     found = F.filter(F.transform(every, scored), lambda x: x["license"].isNotNull())
-    return documents.select("doc_id", found.alias("licenses"))
+    lengths = [len(_words(t)) for name in sorted(templates) for t in templates[name] if _bigrams(t)]
+    pool = F.array(*map(F.lit, sorted({g for _, own in known for g in own})))
+    spot = "struct<at:int,words:int,dice:int,rank:int>"
+
+    def common(pairs: Column) -> Column:
+        """Bigrams of the text that some template has."""
+        return F.array_intersect(pairs, pool)
+
+    def enough(shared: Column, own: list[str], least: int) -> Column:
+        both = F.size(F.array_intersect(shared, F.array(*map(F.lit, own))))
+        return (F.size(shared) >= least) & (both >= least)
+
+    def left_over(f: Column) -> Column:
+        """The text with a word of no template for every word that a unit took."""
+
+        def taken(part: Column) -> Column:
+            return F.regexp_replace(normalised(part), "[^ ]+", _TAKEN)
+
+        def places(unit: str) -> Column:
+            return F.transform(F.filter(f, lambda x: x["unit"] == unit), lambda x: x["place"])
+
+        def without(parts: Column, unit: str) -> Column:
+            return F.transform(
+                parts,
+                lambda x, i: F.when(F.array_contains(places(unit), i), taken(x)).otherwise(x),
+            )
+
+        by_line = F.array_join(without(F.split(text, "\n"), "line"), "\n")
+        by_paragraph = without(F.split(by_line, r"\n[\x20\x09-\x0D]*\n"), "paragraph")
+        return F.array_join(by_paragraph, "\n\n")
+
+    def sliding(pairs: Column) -> Column:
+        """Windows that a template fits, by place."""
+
+        def of(rank: int, own: list[str], n: int) -> Column:
+            grams = F.array(*map(F.lit, own))
+
+            def at(i: Column) -> Column:
+                window = F.slice(pairs, i + 1, n - 1)
+                total = _let(
+                    window,
+                    lambda w: F.struct(
+                        F.size(F.array_intersect(w, grams)).alias("both"),
+                        (F.size(F.array_distinct(w)) + len(own)).alias("total"),
+                    ),
+                )
+                return _let(
+                    total,
+                    lambda x: F.struct(
+                        i.cast("int").alias("at"),
+                        F.lit(n).alias("words"),
+                        F.when(200 * x["both"] >= percent * x["total"], 200 * x["both"] / x["total"])
+                        .cast("int").alias("dice"),
+                        F.lit(-rank).alias("rank"),
+                    ),
+                )
+
+            starts = F.sequence(F.lit(0), F.size(pairs) - (n - 1))
+            fits = F.filter(F.transform(starts, at), lambda x: x["dice"].isNotNull())
+            shared = enough(common(pairs), own, _bounds(len(own), percent)[0])
+            return F.when(shared & (F.size(pairs) >= n - 1), fits).otherwise(
+                F.array().cast(f"array<{spot}>")
+            )
+
+        fits = F.concat(*(of(k, own, n) for k, ((_, own), n) in enumerate(zip(known, lengths))))
+        return F.array_sort(fits)
+
+    def best_apart(fits: Column) -> Column:
+        """Of windows that overlap the one with most in common, so that a notice isn't also
+        found as the shorter one that it begins with."""
+
+        def add(kept: Column, x: Column) -> Column:
+            last = F.get(kept, F.size(kept) - 1)
+            apart = (F.size(kept) == 0) | (x["at"] >= last["at"] + last["words"])
+            better = F.struct(x["dice"] * x["words"], x["rank"]) > F.struct(
+                last["dice"] * last["words"], last["rank"]
+            )
+            replaced = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))
+            return F.when(apart, F.concat(kept, F.array(x))).when(better, replaced).otherwise(kept)
+
+        return F.aggregate(fits, F.array().cast(f"array<{spot}>"), add)
+
+    def pairs_of(t: Column) -> Column:
+        return _let(
+            F.split(normalised(t), " "),
+            lambda w: F.transform(
+                F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))),
+                lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)),
+            ),
+        )
+
+    names = F.array(*(F.lit(name) for name, _ in known))
+    none = F.array().cast("array<struct<license:string,dice:int,unit:string,place:int>>")
+    worth = F.lit(False)
+    for (_, own), (a, _) in zip(known, reach):
+        worth = worth | enough(F.col("shared"), own, a)
+    scanned = documents.select(
+        "doc_id", text.alias("text"), found.alias("found"), common(pairs_of(text)).alias("shared")
+    )
+    windows = _let(
+        pairs_of(left_over(F.col("found"))),
+        lambda p: F.transform(
+            best_apart(sliding(p)),
+            lambda x: F.struct(
+                F.get(names, -x["rank"]).alias("license"),
+                x["dice"].alias("dice"),
+                F.lit("window").alias("unit"),
+                x["at"].alias("place"),
+            ),
+        ),
+    )
+    whole = F.exists("found", lambda x: x["unit"] == "text")
+    windows = F.when(worth & ~whole, windows).otherwise(none)
+    return scanned.select("doc_id", F.concat("found", windows).alias("licenses"))

@@ -3,6 +3,7 @@
 import random
 
 from logtables.llm import line_dedup
+from logtables.llm.license_scan import TEMPLATES, _words, scan_licenses
 
 from . import brute
 
@@ -101,3 +102,31 @@ def test_runs_equal_all_pairs(spark):
         for (i, t), gone in zip(rows, want)
     ]
     assert sorted(map(tuple, found.collect())) == cut
+
+
+def test_notices_among_other_words_are_found(spark):
+    short, apache = TEMPLATES["Apache-2.0"]
+    wrapped = apache.split()
+    wrapped = "\n".join(" ".join(wrapped[i : i + 14]) for i in range(0, len(wrapped), 14))
+    mit = "\n\n".join(TEMPLATES["MIT"][2:])
+    rows = [
+        (1, f"Copyright 2020 Example Corp. and all the others. {short} {words(30, 'prose')}"),
+        (2, f"{words(40, 'code')}\n{wrapped}\n{words(60, 'more')}"),
+        (3, f"{words(99, 'prose')} {mit.replace(chr(10), ' ')}\n{words(80, 'end')}"),
+        (4, f"{words(90, 'prose')}\n{short}\n{words(30, 'end')}"),
+        (5, f"{words(5, 'a')}\n{short}\n{words(9, 'b')} {short} {words(9, 'c')}"),
+        (6, words(99, "nothing")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {
+        r["doc_id"]: [(x["license"], x["dice"], x["unit"], x["place"]) for x in r["licenses"]]
+        for r in scan_licenses(docs).collect()
+    }
+    assert got == {
+        1: [("Apache-2.0", 100, "window", 8)],
+        2: [("Apache-2.0", 100, "window", 40)],
+        3: [("MIT", 100, "window", 99), ("MIT", 100, "window", 99 + len(_words(TEMPLATES["MIT"][2])))],
+        4: [("Apache-2.0", 100, "line", 1)],
+        5: [("Apache-2.0", 100, "line", 1), ("Apache-2.0", 100, "window", 22)],
+        6: [],
+    }
