@@ -38,7 +38,8 @@ def _field(name: str) -> Column:
 
 
 def _searched(spark: SparkSession, sf_dir: str, **terms) -> DataFrame:
-    return _rows(search.search(views.log_events(spark, sf_dir), **terms))
+    """All events meeting the terms."""
+    return _rows(search.where(views.log_events(spark, sf_dir), **terms))
 
 
 # Sources and sinks
@@ -352,7 +353,7 @@ def search_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _searched(spark, sf_dir)
+    return _rows(search.search(views.log_events(spark, sf_dir)))
 
 
 @query
