@@ -14,6 +14,7 @@ from logtables.llm.language_id import identify, learn
 from logtables.llm.license_scan import TEMPLATES, scan_licenses
 from logtables.llm.line_dedup import drop_recurring
 from logtables.llm.packing import pack
+from logtables.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt
 from logtables.llm.pseudonyms import KINDS, replace_private
 from logtables.llm.quality import measured
 from logtables.llm.secret_scan import digest, find_secrets
@@ -384,3 +385,45 @@ from d left join found using (r)
 
 
 ORACLES["op5_license_scan"] = _licenses_sql()
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie(*rebuilt(turns, block=20, choices=4))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) as said
+  from conversations where conv_id is not null),
+own as (select conv_id as c, list(said order by i) as said from t group by conv_id),
+h as (
+  select c, said, c - c % 20 as c0, (xor(list_reduce(
+    list_concat([4294967295::bigint], list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ord(x) as bigint))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)) % 4 as h
+  from own),
+seqs as (
+  select h.c, list_concat(coalesce(o.said[1:h.h], []), h.said[h.h + 1:]) as said
+  from h left join own o on o.c = h.c0),
+prefixes as (select c, unnest(range(0, len(said) + 1)) as d, said from seqs),
+nodes as (
+  select d, said[1:d] as p, count(*) as n_convs, min(c) as conv_id,
+    string_agg(cast(c as varchar), ',' order by c) filter (len(said) = d) as ends
+  from prefixes group by d, said[1:d]),
+worth as (
+  select *, (n_convs - 1) * case when d = 0 then 0 else
+    len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) end as spared,
+    (select count(*) from nodes k where k.d = nodes.d + 1 and k.p[1:nodes.d] = nodes.p) as kids
+  from nodes),
+above as (select unnest(range(0, d + 1)) as a, p, spared, kids from worth),
+below as (
+  select a as d, p[1:a] as p, sum(spared) as saved, count(*) filter (kids = 0) as n_leaves
+  from above group by a, p[1:a])
+select w.conv_id, w.d as depth, u.conv_id as parent_conv_id, w.n_convs, w.kids as n_children,
+  b.n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256
+from worth w join below b on b.d = w.d and b.p = w.p
+  left join nodes u on u.d = w.d - 1 and u.p = w.p[1:w.d - 1]
+"""
