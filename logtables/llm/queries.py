@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtables.llm.collocations import collocations
 from logtables.llm.decontaminate import find_passages
 from logtables.llm.jaccard_join import jaccard_classes
 from logtables.llm.kd_shards import shard
@@ -427,3 +428,45 @@ select w.conv_id, w.d as depth, u.conv_id as parent_conv_id, w.n_convs, w.kids a
 from worth w join below b on b.d = w.d and b.p = w.p
   left join nodes u on u.d = w.d - 1 and u.p = w.p[1:w.d - 1]
 """
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), top=2000, longest=5, least=100)
+
+
+ORACLES["op12_phrase_collocations"] = r"""
+with pieces as (
+  select lang, row_number() over () as piece, list_filter(string_split(replace(p, chr(9), ' '), ' '), lambda x: x <> '') as w
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+    from documents) q),
+sizes as (select lang, sum(len(w)) as n from pieces group by lang),
+grams as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, m, count(*) as f
+  from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i
+    from pieces, (select unnest(range(1, 6)) as m) lengths where len(w) >= m) q
+  group by all having count(*) >= 100),
+cand as (select lang, phrase, m, f, string_split(phrase, ' ') as w from grams where m > 1),
+inside as (
+  select distinct s.lang, s.phrase
+  from (select lang, f, array_to_string(w[i:i + k - 1], ' ') as phrase
+    from (select lang, w, m, f, k, unnest(range(1, m - k + 2)) as i
+      from (select lang, w, m, f, unnest(range(2, m)) as k from cand) q1) q2) b
+  join cand s on s.lang = b.lang and s.phrase = b.phrase where 100 * b.f >= 100 * s.f),
+cuts as (
+  select lang, phrase, f as a, k, array_to_string(w[1:k], ' ') as x, array_to_string(w[k + 1:], ' ') as y
+  from (select *, unnest(range(1, m)) as k from cand) q
+  where not exists (select 1 from inside where inside.lang = q.lang and inside.phrase = q.phrase)),
+scored as (
+  select c.lang, phrase, a, k, x.f as l, y.f as r, n,
+    cast((cast(1000 as hugeint) * a * n) // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from cuts c join sizes using (lang)
+    join (select lang, phrase as x, f from grams) x using (lang, x)
+    join (select lang, phrase as y, f from grams) y using (lang, y)),
+best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank,
+  phrase, a, l, r, cast(n as bigint) as n, score
+from best qualify rank <= 2000
+"""
