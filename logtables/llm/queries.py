@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtables.llm import html_extract
 from logtables.llm.collocations import collocations
 from logtables.llm.decontaminate import find_passages
 from logtables.llm.jaccard_join import jaccard_classes
@@ -470,3 +471,9 @@ select lang, row_number() over (partition by lang order by score desc, a desc, e
   phrase, a, l, r, cast(n as bigint) as n, score
 from best qualify rank <= 2000
 """
+
+
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.learn(pages))
