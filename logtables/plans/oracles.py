@@ -96,8 +96,12 @@ def search_form(value: str) -> str:
     return f"(' ' || trim(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')"
 
 
+def _matching(where: str) -> str:
+    return f"{EVENTS} select {ROW} from events where {where}"
+
+
 def _newest(where: str, limit: int = 100) -> str:
-    return f"{EVENTS} select {ROW} from events where {where} order by ts desc, event_id limit {limit}"
+    return f"{_matching(where)} order by ts desc, event_id limit {limit}"
 
 
 _PATTERNS = DOCLINES + f""", placed as (
@@ -201,17 +205,17 @@ ORACLES: dict[str, str] = {
          lambda x: case when x[1] = x[2] then x[1] else '<*>' end), ' '), '') as merged
         from pairs where len(t) = len(m)""",
     "ingest_lag": f"{EVENTS} select event_id, greatest(0, (ingest_us - ts_us) / 1000.0) as lag_ms from events",
-    "search_level": _newest("level >= 3"),
-    "search_source": _newest("source = 'svc-2'"),
-    "search_field": _newest("user_id = '8'"),
-    "search_field_loose": _newest("user_id ilike '%4%'"),
-    "search_last": _newest("ts >= timestamp '2024-01-31 00:00:00' - interval 5 day"),
+    "search_level": _matching("level >= 3"),
+    "search_source": _matching("source = 'svc-2'"),
+    "search_field": _matching("user_id = '8'"),
+    "search_field_loose": _matching("user_id ilike '%4%'"),
+    "search_last": _matching("ts >= timestamp '2024-01-31 00:00:00' - interval 5 day"),
     "search_text": f"""{DOCLINES} select doc_id, line_no, source, line as message from doclines
         where ({search_form('line')} like '% la %' or {search_form('source')} like '% la %')
          and ({search_form('line')} like '% de %' or {search_form('source')} like '% de %')""",
-    "search_substring": _newest("lower(message) like '%db-3 after%'"),
-    "search_like": _newest("message ilike '%user%took%'"),
-    "search_combined": _newest(
+    "search_substring": _matching("lower(message) like '%db-3 after%'"),
+    "search_like": _matching("message ilike '%user%took%'"),
+    "search_combined": _matching(
         "level >= 4 and source = 'svc-1' and ts >= timestamp '2024-01-31 00:00:00' - interval 20 day"
         f" and {search_form('message')} like '% failed to connect %'"
     ),
