@@ -96,55 +96,76 @@ def quality(text):
     return m, base, not bad
 
 
-def dropped_lines(rows, depth=3, min_docs=10, long_words=50, long_docs=3, min_words=3, fixed=70):
+def dropped_lines(rows, depth=3, min_docs=10, long_words=50, long_docs=2, min_words=3, fixed=70):
     """For each (doc_id, text): the numbers of its lines that go."""
 
-    def tokens(line):
-        return tuple("<*>" if re.search("[0-9]", t) else t for t in words(line))
+    def known(line):
+        """Leaf and tokens: digits masked, unless too few words would be left fixed."""
+        raw = tuple(words(line))
+        tokens = tuple("<*>" if re.search("[0-9]", t) else t for t in raw)
+        alone = 100 * sum(t != "<*>" for t in tokens) < fixed * len(tokens)
+        return ((len(raw), alone, raw) if alone else (len(raw), alone, tokens[:depth])), (raw if alone else tokens)
 
     def needed(n):
         return long_docs if n >= long_words else min_docs
 
-    holders = defaultdict(set)
+    lines = []  # per row: (line_no, leaf, tokens) of the lines that can be templates
     for _, text in rows:
-        for line in (text or "").split("\n") if text is not None else []:
-            if len(t := tokens(line)) >= min_words:
-                holders[t].add(text)
+        split = [] if text is None else text.split("\n")
+        lines.append([(i, *known(x)) for i, x in enumerate(split) if len(words(x)) >= min_words])
+    holders = defaultdict(set)
+    for (_, text), found in zip(rows, lines):
+        for _, leaf, tokens in found:
+            holders[leaf, tokens].add(text)
     leaves, support = defaultdict(set), Counter()
-    for t, texts in holders.items():
-        leaves[len(t), t[:depth]] |= texts
-        for place, token in enumerate(t):
-            support[len(t), t[:depth], place, token] += len(texts)
+    for (leaf, tokens), texts in holders.items():
+        leaves[leaf] |= texts
+        for place, token in enumerate(tokens):
+            support[leaf, place, token] += len(texts)
     template = {}
-    for t in holders:
-        if len(leaves[len(t), t[:depth]]) < needed(len(t)):
+    for leaf, tokens in holders:
+        if len(leaves[leaf]) < needed(leaf[0]):
             continue
-        general = tuple(
-            x if support[len(t), t[:depth], i, x] >= needed(len(t)) else "<*>"
-            for i, x in enumerate(t)
-        )
-        n_fixed = sum(
-            support[len(t), t[:depth], i, x] >= needed(len(t)) for i, x in enumerate(t)
-        )
-        template[t] = (t[:depth], general if 100 * n_fixed >= fixed * len(t) else t)
+        is_fixed = [
+            support[leaf, i, x] >= needed(leaf[0]) and x != "<*>" for i, x in enumerate(tokens)
+        ]
+        shape = tuple(x if f else "<*>" for x, f in zip(tokens, is_fixed))
+        template[leaf, tokens] = (leaf, shape if 100 * sum(is_fixed) >= fixed * len(tokens) else tokens)
+
+    def place(doc_id):
+        return doc_id is None, doc_id or 0
+
+    # What recurs: templates, and runs of shared lines with enough words.
+    units = []
+    for (_, text), found in zip(rows, lines):
+        mine = [
+            (("template", template[leaf, t]), needed(leaf[0]), [i])
+            for i, leaf, t in found if (leaf, t) in template
+        ]
+        shared = [len(holders[leaf, t]) >= long_docs for _, leaf, t in found]
+        for s in range(len(found)):
+            for step in (1, -1):
+                total, e = 0, s
+                while 0 <= e < len(found) and shared[e] and total < long_words:
+                    total += len(found[e][2])
+                    e += step
+                run = sorted(range(s, e, step))
+                if total >= long_words and len(run) > 1:
+                    key = tuple(found[k][1:] for k in run)
+                    mine.append((("run", key), long_docs, [found[k][0] for k in run]))
+        units.append(mine)
     reach, first = defaultdict(set), {}
-    for doc_id, text in rows:
-        for line in (text or "").split("\n"):
-            key = template.get(tokens(line))
-            if key:
-                reach[key].add(text)
-                place = (doc_id is None, doc_id or 0)
-                first[key] = min(first.get(key, place), place)
-    out = []
-    for doc_id, text in rows:
-        gone = []
-        for i, line in enumerate((text or "").split("\n")):
-            key = template.get(tokens(line))
-            if key and len(reach[key]) >= needed(len(tokens(line))):
-                if first[key] != (doc_id is None, doc_id or 0):
-                    gone.append(i)
-        out.append(gone)
-    return out
+    for (doc_id, text), mine in zip(rows, units):
+        for key, *_ in mine:
+            reach[key].add(text)
+            first[key] = min(first.get(key, place(doc_id)), place(doc_id))
+    return [
+        sorted({
+            i for key, least, places in mine
+            if len(reach[key]) >= least and first[key] != place(doc_id) for i in places
+        })
+        for (doc_id, _), mine in zip(rows, units)
+    ]
 
 
 def secrets(text):

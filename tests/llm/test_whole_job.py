@@ -93,7 +93,7 @@ def test_runs_equal_all_pairs(spark):
             run.insert(rng.randrange(len(run)), rng.choice(["", "two words", own[0]]))
         rows.append((i, "\n".join(own + run + pool[:1] * (i % 2))))
     want = runs_dropped(rows)
-    alone = brute.dropped_lines(rows, min_docs=100, long_docs=2)
+    alone = brute.dropped_lines(rows, min_docs=100, long_words=10**6)
     assert not any(alone) and sum(map(len, want)) > 50
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     found = line_dedup.drop_recurring(docs, min_docs=100).select("document.doc_id", "text", "n_dropped")
