@@ -83,23 +83,25 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _band(n: int, percent: int) -> tuple[int, int, int]:
-    """Of a size: the band's number, the most differences there, the parts."""
-    number, low = 0, 1
-    high = FIRST
-    while n >= high:
-        number, low, high = number + 1, high, int(high * BAND)
-    most = (100 - percent) * 2 * (high - 1) // (100 + percent)
-    spare = 2 + most * (100 - percent) // 130  # for parts of fewer than two shingles
-    return number, most, most + 1 + (spare if most else 0)
+def _bands(n: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """Of all sizes from ``n`` to the largest that links with it: the band's number, the most
+    differences there, the parts."""
+    number, high = 0, FIRST
+    while True:
+        if n < high:
+            most = (100 - percent) * 2 * (high - 1) // (100 + percent)
+            spare = 2 + most * (100 - percent) // 130  # for parts of fewer than two shingles
+            yield number, most, most + 1 + (spare if most else 0)
+            if n * 100 // percent < high:
+                return
+        number, high = number + 1, int(high * BAND)
 
 
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of which linked sets share at least one."""
     n = len(tokens)
     out = []
-    own, largest = _band(n, percent), _band(n * 100 // percent, percent)
-    for number, most, parts in dict.fromkeys((own, largest)):
+    for number, most, parts in _bands(n, percent):
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         full = np.diff(np.r_[starts, n]) >= (2 if most else 1)
@@ -116,63 +118,55 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _sets(size: int):
+def _sets(size: int, percent: int):
+    """Size and digest of each row's set, and the keys under which it meets others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t, size, known) for t in _texts(batch)]
-            keys = [_digest(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
+
+        def rows(part: pa.RecordBatch, sets: list, sigs: list) -> pa.RecordBatch:
+            keys = [_digest(s) if n else None for n, s in sets]
+            ends = np.cumsum([0, *map(len, sigs)])
+            flat = pa.array(np.concatenate([*sigs, np.empty(0, np.uint64)]).view(np.int64))
+            return pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("text_key"),
-                    pa.array([len(s) for s in sets], pa.int64()),
+                    part.column("doc_id"),
+                    part.column("text_key"),
+                    pa.array([n for n, _ in sets], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array([k and _short(k) for k in keys], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "set_key", "short_key"],
-            )
-
-    return run
-
-
-def _postings(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
-
-        def flush(keys: list, ids: list) -> pa.RecordBatch:
-            lengths = [len(k) for k in keys]
-            sig = np.concatenate(keys).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(sig), pa.array(np.repeat(np.array(ids, np.int64), lengths))],
-                names=["sig", "short_key"],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "short_key", "sigs"],
             )
 
         for batch in batches:
-            keys, ids, held = [], [], 0
-            for text in _texts(batch):
+            sets, sigs, held, first = [], [], 0, 0
+            for i, text in enumerate(_texts(batch)):
                 tokens = shingle_set(text, size, known)
-                if len(tokens):
-                    keys.append(signatures(tokens, percent))
-                    ids.append(_short(_digest(tokens)))
-                    held += len(keys[-1])
-                if held > 200_000:
-                    yield flush(keys, ids)
-                    keys, ids, held = [], [], 0
-            if keys:
-                yield flush(keys, ids)
+                sigs.append(signatures(tokens, percent) if len(tokens) else tokens)
+                sets.append((len(tokens), tokens))
+                held += len(tokens) + len(sigs[-1])
+                if held > 1_000_000:
+                    yield rows(batch.slice(first, i + 1 - first), sets, sigs)
+                    sets, sigs, held, first = [], [], 0, i + 1
+            if sets:
+                yield rows(batch.slice(first), sets, sigs)
 
     return run
 
 
 def _members(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known, seen = _WordHashes(), set()
         for batch in batches:
             wanted = batch.column("set_key").to_pylist()
-            tokens = [shingle_set(t, size, known) for t in _texts(batch)]
-            # a row of the same doc_id with another text isn't the set asked for
-            same = [len(t) > 0 and _digest(t) == w for t, w in zip(tokens, wanted)]
+            # rows that repeat come once
+            same = [w not in seen and not seen.add(w) for w in wanted]
+            tokens = [
+                shingle_set(t, size, known) if s else np.empty(0, np.uint64)
+                for t, s in zip(_texts(batch), same)
+            ]
             rest = batch.drop_columns(["text"]).append_column(
                 "tokens", pa.array([t.tobytes() for t in tokens], pa.binary())
             )
@@ -283,20 +277,25 @@ def jaccard_classes(
     docs = documents.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_id {id_type}, text_key bigint, n_shingles bigint, set_key binary, short_key bigint"
+        f"doc_id {id_type}, text_key bigint, n_shingles bigint, set_key binary, short_key bigint,"
+        " sigs array<bigint>"
     )
     texts = docs.withColumn("text_key", F.xxhash64("text"))
-    sets = materialise(texts.mapInArrow(_sets(size), schema), "sets")
+    sets = texts.mapInArrow(_sets(size, percent), schema)
+    sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     reps = (
         sets.filter("n_shingles > 0")
         .groupBy("set_key")
         .agg(
             F.min("doc_id").alias("rep"),
+            F.min(F.struct("doc_id", "text_key")).alias("home"),
             F.max("n_shingles").alias("n"),
             F.max("short_key").alias("short_key"),
+            F.min("row").alias("row"),
         )
     )
-    edges = links(docs, reps, size, percent, block)
+    reps = materialise(reps, "reps")
+    edges = links(texts, sets, reps, size, percent, block)
     classes = components(edges)
     named = (
         reps.join(classes, reps.set_key == classes.node, "left")
@@ -337,11 +336,15 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     return one.select("document").union(docs.filter("blank").select("document")).select("document.*")
 
 
-def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Links ``a``, ``b`` between set keys, enough to connect what all links connect."""
-    postings = docs.select("text").mapInArrow(
-        _postings(size, percent), "sig bigint, short_key bigint"
-    )
+def links(
+    texts: DataFrame, sets: DataFrame, reps: DataFrame, size: int, percent: int, block: int
+) -> DataFrame:
+    """Links ``a``, ``b`` between set keys, enough to connect what all links connect.
+
+    Each distinct set is met under its keys once, however many rows have it.
+    """
+    postings = sets.select("row", "short_key", "sigs").join(reps.select("row"), "row", "left_semi")
+    postings = materialise(postings.select("short_key", F.explode("sigs").alias("sig")), "postings")
     shared = (
         postings.groupBy("sig")
         .agg(F.min("short_key").alias("a"), F.max("short_key").alias("z"))
@@ -354,12 +357,14 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int)
     weight = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).alias("blocks"))
     placed = members.join(weight, "root").select(
         F.col("root").alias("grp"),
-        "rep",
+        F.col("home.doc_id").alias("home_id"),
+        F.col("home.text_key").alias("home_key"),
         "set_key",
         "blocks",
         F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block"),
     )
-    wanted = docs.join(placed, docs.doc_id.eqNullSafe(placed.rep)).select(
+    same = texts.doc_id.eqNullSafe(placed.home_id) & (texts.text_key == placed.home_key)
+    wanted = texts.join(placed, same).select(
         "grp", "set_key", "blocks", "block", "text"
     )
     tokens = wanted.mapInArrow(
