@@ -100,6 +100,7 @@ def _runs(
     most = -(-long_words // min_words) - 1
     around = (
         places.join(shared, "line_key", "left_semi")
+        .repartition("doc_id", "text_key")
         .dropDuplicates(["doc_id", "text_key", "seq"])
         .withColumn("at", line)
         .select(
@@ -191,13 +192,15 @@ def recurring_lines(
         .groupBy("leaf", "n").agg(F.count("*").alias("docs"))
         .filter(F.col("docs") >= needed).select("leaf")
     )
+    leaves = materialise(leaves.distinct(), "leaves")
     weights = (
         held.join(leaves, "leaf", "left_semi")
         .groupBy("leaf", "n", "line_key").agg(F.count("*").alias("weight"))
     )
     texts = (
-        lines.select("line_key", "line")
-        .join(weights.select("line_key"), "line_key", "left_semi")
+        # only lines of these leaves leave the scan
+        lines.select("leaf", "line_key", "line")
+        .join(leaves, "leaf", "left_semi")
         .groupBy("line_key").agg(F.first("line").alias("line"))
     )
     distinct = weights.join(texts, "line_key").withColumn("tokens", F.split("line", " "))
@@ -205,10 +208,12 @@ def recurring_lines(
     fields = distinct.select(
         "leaf", "n", "line_key", "weight", F.posexplode("tokens").alias("place", "token")
     )
-    support = fields.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("support"))
-    marked = fields.join(support, ["leaf", "place", "token"]).withColumn(
-        "is_fixed", (F.col("support") >= needed) & (F.col("token") != _VARIABLE)
-    )
+    # Few tokens are fixed: a small table, so that the fields themselves need not move.
+    support = fields.filter(F.col("token") != _VARIABLE).groupBy("leaf", "n", "place", "token")
+    support = support.agg(F.sum("weight").alias("support")).filter(F.col("support") >= needed)
+    support = materialise(support.select("leaf", "place", "token", F.lit(True).alias("is_fixed")), "fixed")
+    marked = fields.join(support, ["leaf", "place", "token"], "left")
+    marked = marked.withColumn("is_fixed", F.coalesce("is_fixed", F.lit(False)))
     field = F.struct("place", F.when(F.col("is_fixed"), F.col("token")).otherwise(_VARIABLE).alias("t"))
     general = marked.groupBy("line_key").agg(
         F.sort_array(F.collect_list(field)).alias("fields"),
