@@ -7,6 +7,7 @@ Viterbi with a penalty for each switch labels the words, so that a span has one
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,20 @@ KNOWN_WORDS = 300_000
 #: Words that the labelling holds at once.
 BATCH_WORDS = 1_000_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _word_pattern() -> re.Pattern:
+    """A letter, then letters and the marks on them, by Unicode category; no number signs."""
+    kinds = "".join(unicodedata.category(chr(i))[0] for i in range(0x110000))
+
+    def ranges(kind: str) -> str:
+        spans = (m.span() for m in re.finditer(f"{kind}+", kinds))
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in spans)
+
+    return re.compile(f"[{ranges('L')}][{ranges('[LM]')}]*")
+
+
+_WORD = _word_pattern()
 #: First and last code points of scripts, from the Unicode block list.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F),

@@ -159,22 +159,22 @@ def pack(
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
     cut = docs.mapInArrow(_pieces(tokenizer, end_id, capacity, shortest, waste), schema)
-    last = capacity // shortest
-    kind = F.least(F.floor(F.lit(capacity) / F.col("length")), F.lit(last)).cast("int")
+    kind = F.floor(F.lit(capacity) / F.col("length")).cast("int")
     # rows that repeat must spread too, so the key counts rows; written, it stays
     key = F.xxhash64(F.monotonically_increasing_id())
     pieces = materialise(cut.withColumns({"class": kind, "key": key}), "pieces")
-    return place(pieces, capacity, last)
+    return place(pieces, capacity)
 
 
-def place(pieces: DataFrame, capacity: int, last: int, run: int = RUN) -> DataFrame:
+def place(pieces: DataFrame, capacity: int, run: int = RUN) -> DataFrame:
     """Sequences for classed pieces: full ones of each class, then the few pieces left.
 
     Each class is dealt to as many workers as its size asks for. A worker numbers its pieces
     and closes a sequence after every k. What is over (fewer than k pieces each) is dealt
-    again to fewer workers, until one has a class. Then fewer than k pieces a class are over,
-    at most last * (last - 1) / 2 in all however many documents there are; they go largest
-    first into the first sequence with room.
+    again to fewer workers, until one has a class. Then fewer than k pieces a class are over.
+    There is a class for each number that a length goes into ``capacity``, about twice its
+    root of them, so this is a bounded number however many documents there are (at 4096 no
+    more than 25,000); they go largest first into the first sequence with room.
     """
     left, done, level = pieces, [], 0
     while True:
@@ -222,7 +222,7 @@ def _sequence_number(level: int, kind, salt, number):
     """One number for (level, class, worker, sequence there): 3, 12, 28 and 20 bits."""
     return (
         F.lit(level).cast("bigint") * F.lit(1 << 60)
-        + kind.cast("bigint") * F.lit(1 << 48)
+        + (kind - 1).cast("bigint") * F.lit(1 << 48)
         + salt.cast("bigint") * F.lit(1 << 20)
         + number.cast("bigint")
     )

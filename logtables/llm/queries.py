@@ -156,7 +156,7 @@ m as (
   from d left join rep using (r)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 100 * n_symbols > 25 * n_words
+  not (base_failed or 100 * (length(t) - length(translate(t, '#*$%&<>', ''))) > 25 * n_words
     or 2 * len(regexp_extract_all(t, '!!')) > n_words
     or 2 * n_dup_lines > len(lines)
     or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
@@ -295,35 +295,66 @@ with d as (
   select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as lines from documents),
 l as (
   select r, doc_id, text, unnest(range(len(lines))) as i,
-    unnest(list_transform(lines, lambda x: list_transform(
-      list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-      lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end))) as tok
+    unnest(list_transform(lines, lambda x:
+      list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda t: t <> ''))) as raw
   from d),
+masked as (
+  select *, len(raw) as n,
+    list_transform(raw, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tok
+  from l where len(raw) >= 3),
 m as (
-  select *, len(tok) as n, list_slice(tok, 1, 3) as lead,
-    case when len(tok) >= 50 then 3 else 10 end as needed
-  from l where len(tok) >= 3),
+  select r, doc_id, text, i, n, alone, case when alone then raw else tok end as tok,
+    case when alone then raw else tok[1:3] end as lead, case when n >= 50 then 2 else 10 end as needed,
+    row_number() over (partition by r order by i) as seq
+  from (select *, 100 * len(list_filter(tok, lambda t: t <> '<*>')) < 70 * n as alone from masked) q),
 leaves as (
-  select n, lead from m group by n, lead, needed having count(distinct text) >= needed),
+  select n, alone, lead from m group by n, alone, lead, needed having count(distinct text) >= needed),
 weights as (
-  select tok, n, lead, needed, count(distinct text) as weight
-  from m join leaves using (n, lead) group by all),
+  select tok, n, alone, lead, needed, count(distinct text) as weight
+  from m join leaves using (n, alone, lead) group by all),
 fields as (
-  select tok, n, lead, needed, weight, unnest(range(n)) as place, unnest(tok) as token from weights),
-support as (select n, lead, place, token, sum(weight) as s from fields group by all),
+  select tok, n, alone, lead, needed, weight, unnest(range(n)) as place, unnest(tok) as token from weights),
+support as (select n, alone, lead, place, token, sum(weight) as s from fields group by all),
+marked as (
+  select tok, n, alone, lead, place, token, s >= needed and token <> '<*>' as is_fixed
+  from fields join support using (n, alone, lead, place, token)),
 general as (
-  select tok, n, lead, count(*) filter (s >= needed) as n_fixed,
-    list(case when s >= needed then token else '<*>' end order by place) as shape
-  from fields join support using (n, lead, place, token) group by all),
+  select tok, n, alone, lead, count(*) filter (is_fixed) as n_fixed,
+    list(case when is_fixed then token else '<*>' end order by place) as shape
+  from marked group by all),
 templates as (
-  select tok, n, lead, case when 100 * n_fixed >= 70 * n then shape else tok end as template from general),
+  select tok, n, alone, lead, case when 100 * n_fixed >= 70 * n then shape else tok end as template from general),
 recurring as (
-  select lead, template, min(doc_id) as first
-  from m join templates using (tok, n, lead) group by lead, template, needed
+  select alone, lead, template, min(doc_id) as first
+  from m join templates using (tok, n, alone, lead) group by alone, lead, template, needed
   having count(distinct text) >= needed),
+shared as (select tok, alone from m group by tok, alone having count(distinct text) >= 2),
+islands as (
+  select r, doc_id, text, i, seq, n, cast(alone as varchar) || array_to_string(tok, ' ') as line,
+    seq - row_number() over (partition by r order by seq) as island,
+    sum(n) over (partition by r order by seq) as upto
+  from m join shared using (tok, alone)),
+ahead as (
+  select a.r, a.seq as s, min(b.seq) as e
+  from islands a join islands b on a.r = b.r and a.island = b.island and b.seq >= a.seq
+    and b.upto - a.upto + a.n >= 50
+  group by a.r, a.seq),
+behind as (
+  select b.r, max(a.seq) as s, b.seq as e
+  from islands a join islands b on a.r = b.r and a.island = b.island and b.seq >= a.seq
+    and b.upto - a.upto + a.n >= 50
+  group by b.r, b.seq),
+runs as (select * from ahead where s < e union select * from behind where s < e),
+said as (
+  select runs.r, s, e, x.doc_id, x.text, string_agg(x.line, chr(10) order by x.seq) as run
+  from runs join islands x on x.r = runs.r and x.seq between s and e group by all),
+again as (select run, min(doc_id) as first from said group by run having count(distinct text) >= 2),
 gone as (
-  select r, i from m join templates using (tok, n, lead) join recurring using (lead, template)
-  where doc_id <> first),
+  select r, i from m join templates using (tok, n, alone, lead) join recurring using (alone, lead, template)
+  where doc_id <> first
+  union
+  select said.r, m.i from said join again using (run) join m on m.r = said.r and m.seq between s and e
+  where said.doc_id <> first),
 kept as (
   select r, unnest(range(len(lines))) as i, unnest(lines) as line from d),
 texts as (

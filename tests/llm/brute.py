@@ -87,7 +87,7 @@ def quality(text):
     base = n < 20 or 100 * m["n_repeat_words"] > 30 * n
     bad = (
         base
-        or 100 * m["n_symbols"] > 25 * n
+        or 100 * sum(c in "#*$%&<>" for c in t) > 25 * n
         or 2 * t.count("!!") > n
         or 2 * m["n_dup_lines"] > len(lines)
         or m["word_chars"] < 2 * n

@@ -196,7 +196,7 @@ def test_packing_round_trip(spark, edge, nothing):
         }
     )
     # many small workers, several levels
-    check_packing(packing.place(pieces, 4096, 128, run=4).toPandas(), rows)
+    check_packing(packing.place(pieces, 4096, run=4).toPandas(), rows)
 
 
 def test_pipeline_equals_brute_force(spark):

@@ -2,7 +2,9 @@
 
 import random
 
-from logtables.llm import line_dedup
+from pyspark.sql import functions as F
+
+from logtables.llm import jaccard_join, language_id, line_dedup, packing, quality
 from logtables.llm.license_scan import TEMPLATES, _words, scan_licenses
 
 from . import brute
@@ -130,3 +132,50 @@ def test_notices_among_other_words_are_found(spark):
         5: [("Apache-2.0", 100, "line", 1), ("Apache-2.0", 100, "window", 22)],
         6: [],
     }
+
+
+def test_tables_of_words_stay_and_noise_goes(spark):
+    table = " | ".join(words(60, "cell").split())
+    rows = [(1, table), (2, " ".join(w + "$$$ ###" for w in words(40, "x").split())), (3, words(30, "plain"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == [1, 3]
+
+
+def test_letters_and_their_marks():
+    assert language_id._WORD.findall("½ ② ² 12 _") == []
+    assert language_id._WORD.findall("नमस्ते दुनिया a1é́") == ["नमस्ते", "दुनिया", "a", "é́"]
+
+
+def test_short_pieces_fill_their_sequences(spark):
+    for length, n in ((1, 9000), (3, 3000), (10, 2000), (17, 1000), (31, 700)):
+        pieces = spark.range(n).select(
+            F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("start"),
+            F.lit(length).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("ids_crc32"),
+            F.lit(length).cast("bigint").alias("doc_tokens"), F.lit(4096 // length).alias("class"),
+            F.xxhash64("id").alias("key"),
+        )
+        found = packing.place(pieces, 4096).toPandas()
+        sizes = found.groupby("sequence_id").length.sum()
+        assert sizes.max() <= 4096 and len(found) == n
+        assert len(sizes) <= -(-n // (4096 // length))
+
+
+def test_a_loose_bound_loses_no_links(spark):
+    pool = [f"t{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        base = random.Random(i // 4).sample(pool, 30)
+        rows.append((i, " ".join(base[: 12 + 6 * (i % 4)])))
+    rows += [(None, rows[0][1])] * 25 + [(None, rows[5][1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for percent in (50, 60):
+        got = jaccard_join.jaccard_classes(docs, size=1, percent=percent).collect()
+        sets = {i: set(t.split()) for i, t in rows if i is not None}
+        up = {i: i for i in sets}
+        for _ in sets:
+            for a in sets:
+                for b in sets:
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        up[a] = up[b] = min(up[a], up[b])
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == up
+        assert len(got) == len(rows)
