@@ -52,12 +52,20 @@ def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_logs(spark, path, name="app.log").select("source", "value")
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample lines as a stream of files, with their own source and ingest time."""
+def _streamed(
+    spark: SparkSession, sf_dir: str, batches: int = 5, order: str = "ingest_ts"
+) -> DataFrame:
+    """The sample lines as a stream of ``batches`` files, one a micro-batch, along ``order``."""
     path = scratch_path(spark, "stream")
     lines = views.logs(spark, sf_dir)
-    lines.write.parquet(path)
-    return spark.readStream.schema(lines.schema).parquet(path)
+    lines.repartitionByRange(batches, order).write.parquet(path)
+    # Files are taken by age; theirs follows the order of their lines.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    storage = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in storage.listStatus(folder)]
+    for age, file in enumerate(sorted((f for f in found if "part-" in f.getName()), key=str)):
+        storage.setTimes(file, 1_700_000_000_000 + 1000 * age, -1)
+    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _collected(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -624,7 +632,7 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = search.where(parse.parse_logs(_streamed(spark, sf_dir)), level="error")
+    errors = search.where(parse.parse_logs(_streamed(spark, sf_dir, 20)), level="error")
     path, checkpoint = scratch_path(spark, "spikes"), scratch_path(spark, "checkpoint")
     jobs.watch_spikes(
         errors, path, checkpoint, ["source"], 600, trigger={"availableNow": True}
@@ -640,7 +648,7 @@ def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = parse.parse_logs(_streamed(spark, sf_dir))
+    events = parse.parse_logs(_streamed(spark, sf_dir, 3, "arrival"))
     path, checkpoint = scratch_path(spark, "templates"), scratch_path(spark, "checkpoint")
     jobs.tag_templates(
         events, path, checkpoint, message="raw", order="arrival", trigger={"availableNow": True}

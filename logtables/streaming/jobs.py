@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logtables.operators import templates as T
-from logtables.operators.numbering import join_on, numbered
-from logtables.operators.spikes import score_buckets
+from logtables.operators.numbering import numbered
 from logtables.scratch import materialise, released
 from logtables.sources.store import append_events
-from logtables.streaming.tables import read_batches, schema_of, write_batch
+from logtables.streaming.series import PROVIDER, ROCKS_DB, score_series
+from logtables.streaming.tables import StateTable, write_batch
 
 # How far events may come behind the latest event time seen.
 DELAY = "10 minutes"
@@ -81,44 +81,6 @@ def sliding_rate(
     )
 
 
-def score_closed(
-    batch: DataFrame,
-    number: int,
-    path: str,
-    by: Sequence[str],
-    bucket_seconds: int,
-    window: int,
-    k: float,
-    min_count: int,
-) -> None:
-    """Score the buckets closed by one micro-batch against the ones before them.
-
-    ``buckets`` keeps all closed buckets, ``series`` the first one of each series,
-    ``scored`` the result. Each batch is its own partition, replaced if repeated.
-    """
-    spark, keys = batch.sparkSession, list(by) or ["_series"]
-    if not by:
-        batch = batch.withColumn("_series", F.lit(0))
-    bucket_schema = schema_of(batch, *keys, "start_ms", "count")
-    series_schema = schema_of(batch, *keys) + ", first_ms bigint"
-    write_batch(batch, f"{path}/buckets", number)
-    known = read_batches(spark, f"{path}/buckets", bucket_schema, number + 1)
-    fresh = known.filter(F.col("batch") == number)
-    earliest = fresh.agg(F.min("start_ms")).first()[0]
-    if earliest is None:
-        return
-    series = read_batches(spark, f"{path}/series", series_schema, number).drop("batch")
-    begun = fresh.groupBy(*keys).agg(F.min("start_ms").alias("first_ms"))
-    write_batch(join_on(begun, series, keys, "left_anti"), f"{path}/series", number)
-    series = read_batches(spark, f"{path}/series", series_schema, number + 1).drop("batch")
-
-    near = known.filter(F.col("start_ms") >= earliest - window * bucket_seconds * 1000)
-    scored = score_buckets(join_on(near, series, keys), keys, bucket_seconds, window, k, min_count)
-    scored = scored.filter(F.col("batch") == number)
-    columns = ("start_ms", "count", "mean", "stddev", "z_score", "is_anomaly")
-    write_batch(scored.select(*keys, *columns), f"{path}/scored", number)
-
-
 def watch_spikes(
     events: DataFrame,
     path: str,
@@ -131,13 +93,23 @@ def watch_spikes(
     delay: str = DELAY,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Score every bucket as it closes, into the table ``path/scored``."""
-
-    def score(batch: DataFrame, number: int) -> None:
-        score_closed(batch, number, path, by, bucket_seconds, window, k, min_count)
+    """Score every bucket as it closes, into the table ``path/scored``.
 
+    The state is the open buckets and the last ``window`` closed ones of each series; a batch
+    reads nothing else, however long the stream has run.
+    """
     buckets = closed_buckets(events, by, bucket_seconds, delay)
-    return _each_batch(buckets, checkpoint, score, trigger)
+    scored = score_series(buckets, by, bucket_seconds, window, k, min_count)
+    writer = scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    if trigger:
+        writer = writer.trigger(**trigger)
+    conf = events.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKS_DB)  # a query keeps the settings of its start
+    try:
+        return writer.format("parquet").start(f"{path}/scored")
+    finally:
+        conf.set(PROVIDER, before)
 
 
 _CHILDREN = "level int, leaf string, token string"
@@ -158,11 +130,12 @@ def tag_batch(
 ) -> None:
     """Go on mining with one micro-batch and write its events with their template.
 
-    ``children`` keeps the tokens each node has taken, ``book`` the templates of
-    the leaves a batch changed, ``ids`` the numbers given out, ``events`` the
-    result with ``template_id`` and ``template_key``. With ``store``, the result
-    goes to the event table of that path instead, each id once. What the batch
-    wrote on the way is deleted.
+    State tables: ``children`` keeps the tokens each node has taken, ``book`` the templates
+    of each leaf, ``ids`` the numbers given out, ``given`` how many. Their size follows the
+    templates, and what a batch reads of them doesn't grow with the batches before.
+    ``events`` is the result with ``template_id`` and ``template_key``. With ``store``, the
+    result goes to the event table of that path instead, each id once. What the batch wrote
+    on the way is deleted.
     """
     with released(batch.sparkSession):
         tagged = _tag(batch, number, path, message, order, depth, sim_threshold, max_children, chunk)
@@ -185,34 +158,36 @@ def _tag(
 ) -> DataFrame:
     spark = batch.sparkSession
     events = materialise(batch, "events")
-    children = read_batches(spark, f"{path}/children", _CHILDREN, number).drop("batch")
-    books = read_batches(spark, f"{path}/book", T.BOOK_SCHEMA, number)
-    ids = read_batches(spark, f"{path}/ids", _IDS, number).drop("batch")
+    children = StateTable(spark, f"{path}/children", _CHILDREN)
+    books = StateTable(spark, f"{path}/book", T.BOOK_SCHEMA, ["leaf"])
+    ids = StateTable(spark, f"{path}/ids", _IDS)
+    given = StateTable(spark, f"{path}/given", "given bigint, one int", ["one"])
 
     patterns = materialise(T.pattern_counts(events, message, order, number), "patterns")
-    keyed, kept = T.leaf_keys(patterns, depth, max_children, children)
+    keyed, kept = T.leaf_keys(patterns, depth, max_children, children.read(number).drop("batch"))
     keyed = materialise(keyed, "keyed")
-    write_batch(kept, f"{path}/children", number)
+    children.write(kept, number)
 
-    newest = books.groupBy("leaf").agg(F.max("batch").alias("batch"))
-    book = books.join(newest, ["leaf", "batch"]).drop("batch")
-    book = book.select(*spark.createDataFrame([], T.BOOK_SCHEMA).columns)
-    write_batch(T.mine_book(keyed, book, sim_threshold, chunk), f"{path}/book", number)
-    book = read_batches(spark, f"{path}/book", T.BOOK_SCHEMA).filter(F.col("batch") == number)
-    book = book.drop("batch")
+    book = T.mine_book(keyed, books.read(number).drop("batch"), sim_threshold, chunk)
+    book = materialise(book, "book")
+    books.write(book, number)
 
     at = F.get("steps", F.lit(0))
     made = book.withColumn("at", at).filter(F.col("at.epoch") == number)
     made = numbered(made.select("leaf", "template_no", "at"), [], ["at"], "_n")
-    given = ids.count()
-    new_ids = made.select("leaf", "template_no", (F.col("_n") + given).alias("template_id"))
-    write_batch(new_ids, f"{path}/ids", number)
+    before = given.read(number).first()
+    before = before["given"] if before else 0
+    new_ids = made.select("leaf", "template_no", (F.col("_n") + before).alias("template_id"))
+    new_ids = materialise(new_ids, "ids")
+    ids.write(new_ids, number)
+    total = spark.range(1).select(F.lit(before + new_ids.count()).alias("given"), F.lit(1).alias("one"))
+    given.write(total, number)
+    known = ids.read(number).drop("batch").unionByName(new_ids)
 
-    ids = read_batches(spark, f"{path}/ids", _IDS, number + 1).drop("batch")
     home = ["leaf", "template_no"]
     named = book.select(*home, T.template_key(F.col("leaf"), F.col("pattern")).alias("template_key"))
     # names and ids go to the intervals, which are few; events are moved once
-    intervals = T.assignment_intervals(keyed, book).join(named, home).join(ids, home)
+    intervals = T.assignment_intervals(keyed, book).join(named, home).join(known, home)
     tagged = T.assign_templates(events.drop("template_id"), intervals, message, order, number)
     return tagged.drop(*home)
 

@@ -5,7 +5,8 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 import logtables as lt
-from logtables.streaming import jobs
+from logtables.streaming import jobs, tables
+from logtables.streaming.tables import StateTable
 from tests.test_templates import Sequential, stream
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -139,15 +140,81 @@ def test_late_events_dropped(spark, drop, tmp_path):
     assert got == [(0, 2), (10, 1), (20, 1)]
 
 
-def test_scoring_a_batch_again_changes_nothing(spark, tmp_path):
-    path = str(tmp_path / "s")
-    schema = "source string, start_ms bigint, count bigint"
-    for number, rows in enumerate([[("a", 0, 5), ("a", 10_000, 6)], [("a", 20_000, 50), ("b", 20_000, 1)]]):
-        for _ in range(2):
-            df = spark.createDataFrame(rows, schema)
-            jobs.score_closed(df, number, path, ["source"], 10, 30, 3.0, 5)
-    got = sorted((r.source, r.start_ms, r["count"]) for r in spark.read.parquet(f"{path}/scored").collect())
-    assert got == [("a", 0, 5), ("a", 10_000, 6), ("a", 20_000, 50), ("b", 20_000, 1)]
+def test_spikes_over_many_batches_and_restarts(spark, drop, tmp_path):
+    """Two series over 24 files, the query stopped and started again; state stays small."""
+    path, checkpoint = str(tmp_path / "spikes"), str(tmp_path / "cp")
+    for part in range(24):
+        name = "api" if part % 3 else "web"
+        rows = [line(30 * part + 10 * i + j / 100) for i in range(3) for j in range(2 + (part * i) % 5)]
+        rows += [line(30 * part + 5, f"{name} broke")] * (40 if part in (11, 19) else 1)
+        drop.put(rows)
+        if part == 23:
+            drop.put([line(5000)])  # closes all before it
+        if part in (7, 15, 23):
+            jobs.watch_spikes(
+                drop.events(), path, checkpoint, ["message"], window=6, delay="5 seconds", trigger=ONCE
+            ).awaitTermination()
+    columns = ["message", "start_ms", "count", "mean", "stddev", "z_score", "is_anomaly"]
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{path}/scored").select(columns).collect())
+    lines = lt.read_logs(spark, str(tmp_path / "in"), name="app")
+    batch = lt.spikes(lt.parse_logs(lines), ["message"], window=6, include_open=True)
+    last = int(START.timestamp() * 1000) + 5_000_000
+    want = [tuple(r) for r in batch.select(columns).collect() if r.start_ms < last]
+    assert got == sorted(want) and any(r[-1] for r in got)
+    # no table of all buckets is kept beside the result
+    assert sorted(p.name for p in (tmp_path / "spikes").iterdir()) == ["scored"]
+
+
+def test_one_series_and_null_series(spark, drop, tmp_path):
+    drop.put(buckets([(i, 2 + i % 2) for i in range(12)]))
+    drop.put(buckets([(12, 30), (40, 1)]))
+    for by, out in (((), "a"), (("template_id",), "b")):
+        path = str(tmp_path / out)
+        jobs.watch_spikes(
+            drop.events(), path, f"{path}-cp", by, window=8, delay="5 seconds", trigger=ONCE
+        ).awaitTermination()
+        columns = ["start_ms", "count", "mean", "stddev", "z_score", "is_anomaly"]
+        got = sorted(tuple(r) for r in spark.read.parquet(f"{path}/scored").select(columns).collect())
+        lines = lt.read_logs(spark, str(tmp_path / "in"), name="app")
+        want = lt.spikes(lt.parse_logs(lines), by, window=8).select(columns).collect()
+        assert got == sorted(map(tuple, want)) and got[-1][-1]
+
+
+def test_state_table_reads_no_more_with_more_batches(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "s"), "k int, v int", ["k"])
+    want, files = {}, {}
+    for number in range(50):
+        assert {r.k: r.v for r in table.read(number).collect()} == want
+        files[number] = len(table.folders(number))
+        rows = [(number % 7, number), (number % 5 + 10, -number)]
+        for _ in range(1 + (number % 13 == 9)):  # some batches are repeated
+            table.write(spark.createDataFrame(rows, "k int, v int").coalesce(1), number)
+        want |= dict(rows)
+    assert max(files.values()) == files[10] + 9 == 10 and files[49] <= 10
+    # what no batch asks for any more is gone
+    left = [int(p.name) for p in (tmp_path / "s/changes").iterdir()]
+    assert min(left) >= 40 - 10 and len(list((tmp_path / "s/base").iterdir())) <= 2
+
+
+def test_templates_over_many_batches(spark, tmp_path, monkeypatch):
+    """Batches beyond several compactions; the last one opens no more folders than early ones."""
+    monkeypatch.setattr(tables, "EVERY", 3)
+    messages = stream(8, 60)
+    model = Sequential(limit=3)
+    want = dict(enumerate(model.feed(m) for m in messages))
+    opened, folders = [], StateTable.folders
+    monkeypatch.setattr(
+        StateTable, "folders", lambda self, before: opened.append((before, n := folders(self, before))) or n
+    )
+    path = str(tmp_path / "t")
+    for number in range(15):
+        part = list(enumerate(messages))[4 * number : 4 * number + 4]
+        batch = spark.createDataFrame(part, "n long, message string").coalesce(1)
+        jobs.tag_batch(batch, number, path, order="n", max_children=3, chunk=7)
+    got = {r.n: r.template_id for r in spark.read.parquet(f"{path}/events").collect()}
+    assert got == want
+    most = {n: max(len(f) for b, f in opened if b == n) for n in (5, 14)}
+    assert most[14] <= most[5] <= 3
 
 
 def test_sliding_rate(spark, drop, tmp_path):
