@@ -29,7 +29,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtables.llm.links import components
@@ -343,15 +343,15 @@ def links(
 
     Each distinct set is met under its keys once, however many rows have it.
     """
-    postings = sets.select("row", "short_key", "sigs").join(reps.select("row"), "row", "left_semi")
-    postings = materialise(postings.select("short_key", F.explode("sigs").alias("sig")), "postings")
-    shared = (
-        postings.groupBy("sig")
-        .agg(F.min("short_key").alias("a"), F.max("short_key").alias("z"))
-        .filter("a < z")
-        .select("sig", "a")
+    firsts = reps.select("set_key", F.col("row").alias("first"))
+    copies = sets.select("set_key", "row").join(firsts, "set_key").filter("row <> first")
+    copies = materialise(copies.select("row"), "copies")
+    postings = sets.join(copies, "row", "left_anti").select(
+        "short_key", F.explode("sigs").alias("sig")
     )
-    meet = postings.join(shared, "sig").select("short_key", "a").filter("short_key <> a")
+    # One shuffle: who meets under a key meets the smallest one there.
+    least = F.min("short_key").over(Window.partitionBy("sig"))
+    meet = postings.withColumn("a", least).select("short_key", "a").filter("short_key <> a")
     groups = materialise(components(meet.distinct(), "short_key", "a"), "groups")
     members = reps.join(groups, reps.short_key == groups.node)
     weight = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).alias("blocks"))
