@@ -65,8 +65,11 @@ from logtables.streaming.jobs import (
     tag_templates,
     watch_spikes,
 )
+from logtables.streaming.supervise import Supervisor, follow_sources
 
 __all__ = [
+    "Supervisor",
+    "follow_sources",
     "DETECTORS",
     "EVENT_SCHEMA",
     "add_search_text",
