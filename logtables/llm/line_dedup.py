@@ -30,10 +30,10 @@ _VARIABLE = "<*>"
 
 def _spaced(line: Column) -> Column:
     """The line's tokens with one space between."""
-    return F.when(
-        line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"),
-        F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")),
-    ).otherwise(line)
+    odd = line.startswith(" ") | line.endswith(" ")
+    for part in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(part)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
 def _masked(spaced: Column) -> Column:
@@ -44,25 +44,31 @@ def _masked(spaced: Column) -> Column:
 
 
 def _n_words(line: Column) -> Column:
-    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return F.when(line == "", 0).otherwise(n)
 
 
+def _read(lines: DataFrame, fixed: int) -> DataFrame:
+    """``line``, the masked form of ``raw``, in its place; ``alone`` where a line is taken as it
+    stands, since its masked tokens leave too few words fixed: rows of numbers that differ are
+    different lines."""
+    lines = lines.withColumn("line", _masked(F.col("raw")))
+    masked = F.when(
+        F.col("line").contains(_VARIABLE), F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))
+    ).otherwise(0)
+    lines = lines.withColumn("alone", 100 * (F.col("n") - masked) < fixed * F.col("n"))
+    return lines.withColumn(
+        "line", F.when(F.col("alone"), F.col("raw")).otherwise(F.col("line"))
+    ).drop("raw")
+
+
 def _lines(documents: DataFrame, min_words: int, depth: int, fixed: int) -> DataFrame:
     """``line`` (masked), its token count, number among such lines (``seq``), leaf and key, for
-    lines of enough tokens.
-
-    A line whose masked tokens leave too few words fixed is taken as it stands, in a leaf of
-    its own: rows of numbers that differ are different lines.
+    lines of enough tokens. A line that is ``alone`` has a leaf of its own.
     """
 
     def both(spaced: Column, i: Column) -> Column:
-        return F.struct(
-            i.alias("line_no"),
-            spaced.alias("raw"),
-            _masked(spaced).alias("line"),
-            _n_words(spaced).alias("n"),
-        )
+        return F.struct(i.alias("line_no"), spaced.alias("raw"), _n_words(spaced).alias("n"))
 
     every = F.transform(F.transform(F.split("text", "\n"), _spaced), both)
     lines = documents.select(
@@ -70,15 +76,9 @@ def _lines(documents: DataFrame, min_words: int, depth: int, fixed: int) -> Data
         F.xxhash64("text").alias("text_key"),
         F.posexplode(F.filter(every, lambda x: x["n"] >= min_words)).alias("seq", "both"),
     ).select("doc_id", "text_key", "seq", "both.*")
-    masked = F.when(
-        F.col("line").contains(_VARIABLE), F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))
-    ).otherwise(0)
-    alone = 100 * (F.col("n") - masked) < fixed * F.col("n")
-    lines = lines.withColumn("alone", alone).withColumn(
-        "line", F.when(F.col("alone"), F.col("raw")).otherwise(F.col("line"))
-    )
+    lines = _read(lines, fixed)
     first = F.when(F.col("alone"), F.col("line")).otherwise(F.substring_index("line", " ", depth))
-    return lines.drop("raw").withColumns(
+    return lines.withColumns(
         {
             "leaf": F.xxhash64("n", "alone", first),
             "line_key": F.struct(F.xxhash64("line").alias("a"), F.hash("line", "alone").alias("b")),
@@ -87,14 +87,13 @@ def _lines(documents: DataFrame, min_words: int, depth: int, fixed: int) -> Data
 
 
 def _runs(
-    places: DataFrame, held: DataFrame, long_words: int, long_docs: int, min_words: int
+    places: DataFrame, distinct: DataFrame, long_words: int, long_docs: int, min_words: int
 ) -> DataFrame:
     """Places of lines in recurring runs of two or more lines with ``long_words`` words.
 
     Lines too short to be a template neither count nor interrupt.
     """
-    shared = held.groupBy("line_key").agg(F.count("*").alias("texts"))
-    shared = shared.filter(F.col("texts") >= long_docs).select("line_key")
+    shared = distinct.filter(F.col("weight") >= long_docs).select("line_key")
     line = F.struct("seq", "line_no", "n", "line_key")
     own = Window.partitionBy("doc_id", "text_key").orderBy("seq")
     most = -(-long_words // min_words) - 1
@@ -165,6 +164,77 @@ def _runs(
     )
 
 
+def _reached(distinct: DataFrame, held: DataFrame, needed: Column) -> DataFrame:
+    """``leaf`` of the leaves that enough texts reach.
+
+    Where one line has enough texts its leaf has them too; only the texts of the other leaves,
+    which then have no common line, are counted.
+    """
+    sized = distinct.groupBy("leaf", "n").agg(
+        F.sum("weight").alias("rows"), F.max("weight").alias("most")
+    )
+    sized = sized.filter(F.col("rows") >= needed).select("leaf", (F.col("most") >= needed).alias("sure"))
+    sized = materialise(sized, "leaves")
+    counted = (
+        held.select("leaf", "n", "text_key")
+        .join(sized.filter("not sure"), "leaf", "left_semi")
+        .distinct()
+        .groupBy("leaf", "n").agg(F.count("*").alias("texts"))
+        .filter(F.col("texts") >= needed)
+    )
+    every = sized.filter("sure").select("leaf").unionByName(counted.select("leaf"))
+    return materialise(every.distinct(), "reached")
+
+
+def _with_words(distinct: DataFrame, documents: DataFrame, fixed: int) -> DataFrame:
+    """``words`` of distinct lines, a digest for each token and place that is no variable; each
+    line is read from one of the texts that have it."""
+    at = F.struct("leaf", "n", "line_key", "weight", "line_no").alias("at")
+    wanted = distinct.groupBy(
+        F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")
+    ).agg(F.collect_list(at).alias("every"))
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    same = docs.doc_id.eqNullSafe(wanted.of_id) & (docs.text_key == wanted.of_key)
+    parts = F.split("text", "\n")
+    raw = F.transform("every", lambda x: _spaced(F.get(F.col("parts"), x["line_no"])))
+    lines = (
+        docs.join(wanted, same)
+        .select("every", parts.alias("parts"))
+        .select(F.inline(F.arrays_zip("every", raw.alias("raw"))))
+        .select("every.*", "raw")
+    )
+    word = F.transform(
+        F.split("line", " "), lambda t, i: F.when(t != _VARIABLE, F.xxhash64(i, t))
+    )
+    # a row that repeats gives its lines again
+    return (
+        _read(lines, fixed)
+        .select("leaf", "n", "line_key", "weight", F.array_compact(word).alias("words"))
+        .dropDuplicates(["line_key"])
+    )
+
+
+def _variable(reached: DataFrame, needed: Column, most: int) -> DataFrame:
+    """Of each line those ``words`` that too few lines of its leaf have at their place.
+
+    A line that enough texts have is its own template, and so a leaf of such lines alone needs
+    no look at its words. As every line weighs one or more, ``most`` lines of a word tell that
+    it has enough, so a word of very many lines costs a few rows of each task.
+    """
+    few = reached.filter(F.col("weight") < needed).select("leaf").distinct()
+    words = reached.join(few, "leaf", "left_semi").select(
+        "leaf", "n", "line_key", "weight", F.explode("words").alias("word")
+    )
+    same = Window.partitionBy("leaf", "word")
+    rare = (
+        words.withColumn("row", F.row_number().over(same.orderBy("line_key")))
+        .filter(F.col("row") <= most)
+        .withColumn("support", F.sum("weight").over(same))
+        .filter(F.col("support") < needed)
+    )
+    return rare.groupBy("line_key").agg(F.collect_list("word").alias("variable"))
+
+
 def recurring_lines(
     documents: DataFrame,
     depth: int = DEPTH,
@@ -181,50 +251,34 @@ def recurring_lines(
     The first document is the one with the smallest doc_id, null last.
     """
     needed = F.when(F.col("n") >= long_words, long_docs).otherwise(min_docs)
-    lines = _lines(documents, min_words, depth, fixed)
-    places = materialise(lines.drop("line", "alone"), "lines")
-    held = places.groupBy("leaf", "n", "line_key", "text_key").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))).alias("first")
+    lines = _lines(documents, min_words, depth, fixed).drop("line", "alone")
+    places = materialise(lines, "lines")
+    held = places.groupBy("line_key", "text_key").agg(
+        F.first("leaf").alias("leaf"),
+        F.first("n").alias("n"),
+        F.min("doc_id").alias("doc_id"),
+        F.min("line_no").alias("line_no"),
     )
     held = materialise(held, "held")
-    leaves = (
-        held.select("leaf", "n", "text_key").distinct()
-        .groupBy("leaf", "n").agg(F.count("*").alias("docs"))
-        .filter(F.col("docs") >= needed).select("leaf")
-    )
-    leaves = materialise(leaves.distinct(), "leaves")
-    weights = (
-        held.join(leaves, "leaf", "left_semi")
-        .groupBy("leaf", "n", "line_key").agg(F.count("*").alias("weight"))
-    )
-    texts = (
-        # only lines of these leaves leave the scan
-        lines.select("leaf", "line_key", "line")
-        .join(leaves, "leaf", "left_semi")
-        .groupBy("line_key").agg(F.first("line").alias("line"))
-    )
-    distinct = weights.join(texts, "line_key").withColumn("tokens", F.split("line", " "))
-    distinct = materialise(distinct.drop("line"), "distinct_lines")
-    fields = distinct.select(
-        "leaf", "n", "line_key", "weight", F.posexplode("tokens").alias("place", "token")
-    )
-    # Few tokens are fixed: a small table, so that the fields themselves need not move.
-    support = fields.filter(F.col("token") != _VARIABLE).groupBy("leaf", "n", "place", "token")
-    support = support.agg(F.sum("weight").alias("support")).filter(F.col("support") >= needed)
-    support = materialise(support.select("leaf", "place", "token", F.lit(True).alias("is_fixed")), "fixed")
-    marked = fields.join(support, ["leaf", "place", "token"], "left")
-    marked = marked.withColumn("is_fixed", F.coalesce("is_fixed", F.lit(False)))
-    field = F.struct("place", F.when(F.col("is_fixed"), F.col("token")).otherwise(_VARIABLE).alias("t"))
-    general = marked.groupBy("line_key").agg(
-        F.sort_array(F.collect_list(field)).alias("fields"),
-        F.sum(F.col("is_fixed").cast("int")).alias("n_fixed"),
+    distinct = held.groupBy("line_key").agg(
+        F.first("leaf").alias("leaf"),
+        F.first("n").alias("n"),
+        F.count("*").alias("weight"),
+        F.min("text_key").alias("text_key"),
+        F.min_by("doc_id", "text_key").alias("doc_id"),
+        F.min_by("line_no", "text_key").alias("line_no"),
     )
-    template = F.when(
-        100 * F.col("n_fixed") >= fixed * F.col("n"), F.transform("fields", lambda x: x["t"])
-    ).otherwise(F.col("tokens"))
-    templates = distinct.join(general, "line_key").select(
-        "line_key", F.struct("leaf", F.xxhash64(template).alias("key")).alias("template")
+    distinct = materialise(distinct, "distinct_lines")
+    leaves = _reached(distinct, held, needed)
+    reached = _with_words(distinct.join(leaves, "leaf", "left_semi"), documents, fixed)
+    reached = materialise(reached, "reached_lines")
+    variable = _variable(reached, needed, max(min_docs, long_docs))
+    words = F.coalesce(F.array_except("words", "variable"), F.col("words"))
+    words = F.when(100 * F.size(words) >= fixed * F.col("n"), words).otherwise(F.col("words"))
+    templates = reached.join(variable, "line_key", "left").select(
+        "line_key", F.struct("leaf", F.xxhash64(words).alias("key")).alias("template")
     )
+    held = held.withColumn("first", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     reach = held.join(templates, "line_key").groupBy("template", "n", "text_key")
     counted = reach.agg(F.min("first").alias("first")).groupBy("template", "n").agg(
         F.count("*").alias("docs"), F.min("first").alias("first")
@@ -232,7 +286,7 @@ def recurring_lines(
     recurring = counted.filter(F.col("docs") >= needed).drop("n")
     found = templates.join(recurring, "template").join(places, "line_key")
     found = found.select("doc_id", "text_key", "line_no", "docs", "first")
-    return found.unionByName(_runs(places, held, long_words, long_docs, min_words)).select(
+    return found.unionByName(_runs(places, distinct, long_words, long_docs, min_words)).select(
         "doc_id",
         "text_key",
         "line_no",
