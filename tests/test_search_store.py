@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import logtables as lt
 from logtables.operators import search as S
+from logtables.sources import store
 
 NOW = datetime(2026, 1, 2, 12, 0, 0, tzinfo=timezone.utc)
 
@@ -107,6 +108,41 @@ def test_store_is_idempotent(spark, events, tmp_path):
     assert "event_date" in filters[: filters.index("]")]
 
 
+def test_appends_read_only_what_is_near(spark, tmp_path):
+    """Twenty appends to one day: the last reads no more of the day than the second."""
+    path = str(tmp_path / "events")
+
+    def batch(minute, n=500):
+        return spark.range(n).select(
+            F.concat(F.lit(f"{minute}-"), F.col("id").cast("string")).alias("event_id"),
+            F.timestamp_millis(F.lit(1_700_006_400_000 + minute * 60_000) + F.col("id")).alias("ts"),
+            F.lit(2).alias("level"),
+            F.lit("api").alias("source"),
+            F.lit("m").alias("message"),
+            F.lit("m").alias("raw"),
+            F.lit(None).cast("map<string,string>").alias("fields"),
+            F.lit(None).cast("timestamp").alias("ingest_ts"),
+            F.lit(None).cast("bigint").alias("template_id"),
+        ).withColumn("event_date", F.to_date("ts"))
+
+    for minute in range(20):
+        lt.append_events(batch(minute), path)
+    again = batch(19)
+    near = store._near(spark.read.parquet(path), again).select("event_id", "ts")
+    assert near.count() == 500
+    assert near.collect()
+    scan = near._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() == 500
+    # the same again, with one event inside an earlier batch and one of another day
+    more = again.unionByName(batch(3)).unionByName(batch(3000, 1))
+    lt.append_events(more, path)
+    stored = lt.read_events(spark, path)
+    assert stored.count() == 20 * 500 + 1
+    assert stored.select("event_id").distinct().count() == 20 * 500 + 1
+    lt.append_events(more.limit(0), path)
+    assert lt.read_events(spark, path).count() == 20 * 500 + 1
+
+
 def test_first_copy_wins(events):
     df = events({"message": "a"})
     later = df.withColumns({"ingest_ts": F.expr("ts + interval 1 day"), "level": F.lit(5)})
