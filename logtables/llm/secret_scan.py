@@ -57,6 +57,8 @@ DISORDERS = (
     Disorder("entropy_base64", "A-Za-z0-9+/_=-", 3.7, unlike="0-9a-fA-F"),
 )
 WINDOW = 20
+#: Longer runs are looked at in pieces of so many characters.
+PIECE = 256
 #: Strings that look random and are public.
 ALLOWED = (
     "(?i)example",
@@ -139,6 +141,17 @@ def least_order(string: Column, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(string)), start, step, lambda s: s["least"])
 
 
+def least_order_of_run(run: Column, window: int, piece: int = PIECE) -> Column:
+    """:func:`least_order` of a run of any length, in time linear in it.
+
+    The run is cut into pieces that overlap by a character less than the window, so each
+    window lies whole in one of them; places in a string cost time only within its piece.
+    """
+    ahead = piece - window + 1
+    pieces = F.regexp_extract_all(run, F.lit(f"(?=(.{{1,{piece}}})).{{1,{ahead}}}"), F.lit(1))
+    return F.array_min(F.transform(pieces, lambda p: least_order(p, window)))
+
+
 def _of_disorder(text: Column, kind: Disorder, window: int, allowed: tuple[str, ...]) -> Column:
     most = round(_UNIT * window * (math.log2(window) - kind.bits))
 
@@ -148,7 +161,7 @@ def _of_disorder(text: Column, kind: Disorder, window: int, allowed: tuple[str,
             mixed = mixed & found.rlike(f"[^{kind.unlike}]")
         for pattern in allowed:
             mixed = mixed & ~found.rlike(pattern)
-        return F.when(mixed, least_order(found, window) <= most).otherwise(False)
+        return F.when(mixed, least_order_of_run(found, window) <= most).otherwise(False)
 
     return matches(text, f"[{kind.charset}]{{{window},}}", wanted)
 

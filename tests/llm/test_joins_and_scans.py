@@ -1,11 +1,13 @@
 """Operators 1, 3, 4, 5, 9 and 10 against their brute-force versions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logtables.llm import decontaminate, jaccard_join, line_dedup, quality, secret_scan
 from logtables.llm.license_scan import scan_licenses
@@ -266,3 +268,24 @@ def test_licenses_equal_dice(spark, edge, nothing):
         assert [(x["dice"], x["license"]) for x in r["licenses"]] == ([best] if best else [])
     assert scan_licenses(nothing).count() == 0
     assert scan_licenses(edge, {}).count() == len(EDGE)
+
+
+@pytest.mark.parametrize("n", [1, 19, 20, 255, 256, 257, 475, 493, 494, 3000])
+def test_entropy_of_long_runs(spark, n):
+    """Cut or whole, a run has the same least sum."""
+    run = "".join(random.Random(n).choice("abcABC0123+/") for _ in range(n))
+    row = spark.createDataFrame([(run,)], "run string").select(
+        secret_scan.least_order(F.col("run"), 20).alias("whole"),
+        secret_scan.least_order_of_run(F.col("run"), 20).alias("cut"),
+    ).first()
+    assert row.whole == row.cut
+
+
+def test_secret_at_the_end_of_a_very_long_run(spark):
+    """A run of a hundred thousand characters, random only in its last twenty."""
+    run = "aA1" * 33_333 + "Zk8Qw2Xv5Ln9Tb3Rm7Yd"
+    docs = spark.createDataFrame([(1, run), (2, "aA1" * 33_333)], "doc_id bigint, text string")
+    started = time.monotonic()
+    got = {r.doc_id: [tuple(f)[:4] for f in r.found] for r in secret_scan.find_secrets(docs).collect()}
+    assert got == {1: [(0, 4, len(run), "entropy_base64")], 2: []}
+    assert time.monotonic() - started < 120
