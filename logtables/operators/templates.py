@@ -22,8 +22,9 @@ founded and generalised, and per position the step at which it turned wild.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from array import array
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,11 @@ MAX_CHILDREN = 100
 # Patterns of one leaf replayed by one task before the rest is filtered again.
 REPLAY_CHUNK = 100_000
 
+# Sets of wild positions a leaf's patterns are blanked at one by one, and templates of a
+# book small enough to be looked up in no other way.
+MASKS = 16
+SMALL_BOOK = 20_000
+
 _AT = "struct<epoch: bigint, ord: bigint, tie: bigint>"
 BOOK_SCHEMA = (
     "leaf string, template_no int, pattern string, template string, "
@@ -144,8 +150,10 @@ def leaf_keys(
     the children newly kept, as ``level, leaf, token``.
     """
     tokens = pattern_tokens(F.col("pattern"))
-    keyed = patterns.withColumn("tokens", tokens)
-    keyed = keyed.withColumn("leaf", F.size("tokens").cast("string"))
+    # of the tokens, only those on the way to a leaf are moved
+    keyed = patterns.withColumns(
+        {"leaf": F.size(tokens).cast("string"), "tokens": F.slice(tokens, 1, max(2, depth) - 2)}
+    )
     kept = None
     for level in range(max(2, depth) - 2):
         keyed, children = _descend(keyed, level, max_children, known_children)
@@ -156,80 +164,76 @@ def leaf_keys(
 
 
 class _Leaf:
-    """The templates of one leaf while its patterns are replayed in order."""
+    """The templates of one leaf while its patterns are replayed in order.
+
+    Templates are found by what stands at each position, so a pattern meets those that
+    share a token or are wild there, not all of the leaf.
+    """
 
     def __init__(self, name: str) -> None:
         self.name = name
         self.rows: list[dict] = []
         self.tokens: list[list[str]] = []
-        self.codes: dict[str, int] = {WILDCARD: 0}
-        self.matrix: np.ndarray | None = None
-        # wild positions -> template texts with exactly these -> how many templates
-        self.texts: dict[tuple[int, ...], Counter[str]] = defaultdict(Counter)
-
-    def _text(self, no: int) -> tuple[tuple[int, ...], str]:
-        tokens = self.tokens[no]
-        return tuple(i for i, t in enumerate(tokens) if t == WILDCARD), " ".join(tokens)
-
-    def _note(self, no: int) -> None:
-        """Make template ``no`` known to the similarity matrix and the cover lookup."""
-        codes = [self.codes.setdefault(t, len(self.codes)) for t in self.tokens[no]]
-        if self.matrix is None:
-            self.matrix = np.empty((16, len(codes)), np.int64)
-        elif no == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
-        self.matrix[no] = codes
-        mask, text = self._text(no)
-        self.texts[mask][text] += 1
-
-    def _forget(self, no: int) -> None:
-        mask, text = self._text(no)
-        self.texts[mask][text] -= 1
-        if not self.texts[mask][text]:
-            del self.texts[mask][text]
-        if not self.texts[mask]:
-            del self.texts[mask]
+        # (position, token or wildcard) -> numbers of the templates that have it there
+        self.having: dict[tuple[int, str], array] = {}
+        self.filed = 0
 
     def add(self, row: dict) -> None:
         self.rows.append(row)
         self.tokens.append(row["template"].split())
-        self._note(len(self.rows) - 1)
 
-    def covered(self, tokens: list[str]) -> bool:
-        for mask, known in self.texts.items():
-            masked = list(tokens)
-            for i in mask:
-                masked[i] = WILDCARD
-            if " ".join(masked) in known:
-                return True
-        return False
+    def _put(self, place: tuple[int, str], no: int) -> None:
+        found = self.having.get(place)
+        if found is None:
+            self.having[place] = array("i", (no,))
+        else:
+            found.append(no)
+
+    def nearest(self, tokens: list[str]) -> tuple[int, int]:
+        """The first template that agrees at most positions, and at how many."""
+        for no in range(self.filed, len(self.rows)):
+            for place in enumerate(self.tokens[no]):
+                self._put(place, no)
+        self.filed = len(self.rows)
+        places = [(i, t) for i, t in enumerate(tokens) if t != WILDCARD]
+        places += [(i, WILDCARD) for i in range(len(tokens))]
+        met = [found for found in map(self.having.get, places) if found]
+        size = sum(map(len, met))
+        if not size:
+            return 0, 0
+        if size < 200:
+            agreeing = Counter(no for found in met for no in found)
+            most = max(agreeing.values())
+            return min(no for no, n in agreeing.items() if n == most), most
+        agreeing = np.bincount(np.concatenate([np.frombuffer(f, np.intc) for f in met]))
+        no = int(agreeing.argmax())
+        return no, int(agreeing[no])
 
     def see(self, pattern: str, at: dict, threshold: float) -> None:
         """A pattern: covered, or generalises its nearest template, or founds one."""
         tokens = pattern.split()
-        if self.covered(tokens):
-            return
-        if self.rows and tokens:
-            codes = np.array([self.codes.get(t, -1) for t in tokens])
-            used = self.matrix[: len(self.rows)]
-            agreeing = ((used == 0) | (used == codes)).sum(axis=1)
-            nearest = int(agreeing.argmax())
-            if agreeing[nearest] / len(tokens) >= threshold:
-                self._generalise(nearest, tokens, at)
+        if self.rows:
+            if not tokens:
+                return  # the one template of this leaf is empty too
+            no, agreeing = self.nearest(tokens)
+            if agreeing == len(tokens):
+                return
+            if agreeing / len(tokens) >= threshold:
+                self._generalise(no, tokens, at)
                 return
         row = {"leaf": self.name, "template_no": len(self.rows), "pattern": pattern}
         self.add({**row, "template": pattern, "steps": [at], "wild": [None] * len(tokens)})
 
     def _generalise(self, no: int, tokens: list[str], at: dict) -> None:
-        self._forget(no)
         row, template = self.rows[no], self.tokens[no]
         for i, token in enumerate(tokens):
             if template[i] not in (token, WILDCARD):
+                self.having[i, template[i]].remove(no)
                 template[i] = WILDCARD
+                self._put((i, WILDCARD), no)
                 row["wild"][i] = len(row["steps"])
         row["steps"].append(at)
         row["template"] = " ".join(template)
-        self._note(no)
 
 
 def _replay(batches: Iterator[pa.RecordBatch], threshold: float, schema: pa.Schema):
@@ -269,23 +273,104 @@ def _replayed(book: DataFrame, patterns: DataFrame, threshold: float) -> DataFra
     return rows.mapInArrow(lambda batches: _replay(batches, threshold, schema), BOOK_SCHEMA)
 
 
+def _blanked(tokens: Column, mask: Column) -> Column:
+    return F.zip_with(tokens, mask, lambda t, wild: F.when(wild, WILDCARD).otherwise(t))
+
+
+def _parts(n: Column) -> Column:
+    """``n`` positions as a whole, in halves, in quarters and so on down to single ones."""
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
+
+    def cut(level: Column) -> Column:
+        pieces = F.pow(F.lit(2), level).cast("int")
+
+        def part(i: Column) -> Column:
+            start = F.floor(n * i / pieces).cast("int")
+            size = F.floor(n * (i + 1) / pieces).cast("int") - start
+            return F.struct((start + 1).alias("start"), size.alias("size"))
+
+        return F.transform(F.sequence(F.lit(0), pieces - 1), part)
+
+    return F.filter(F.flatten(F.transform(levels, cut)), lambda part: part["size"] > 0)
+
+
+def _fixed_part(mask: Column) -> Column:
+    """The first part without a wild position; an empty one if there is none."""
+    parts = F.filter(
+        _parts(F.size(mask)),
+        lambda part: ~F.array_contains(F.slice(mask, part["start"], part["size"]), True),
+    )
+    none = F.struct(F.lit(1).alias("start"), F.lit(0).alias("size"))
+    whole = F.struct(F.lit(1).alias("start"), F.size(mask).alias("size"))
+    return F.when(~F.array_contains(mask, True), whole).otherwise(
+        F.coalesce(F.get(parts, F.lit(0)), none)
+    )
+
+
+def _slot_key(tokens: Column) -> Column:
+    """Digest of the tokens that ``_slot`` compares: those of a part, or those of a mask."""
+    start, size, mask = (F.col(f"_slot.{name}") for name in ("start", "size", "mask"))
+    return F.when(
+        mask.isNull(), F.xxhash64("leaf", start, size, F.slice(tokens, start, size))
+    ).otherwise(F.xxhash64("leaf", mask, _blanked(tokens, mask)))
+
+
 def coverings(patterns: DataFrame, book: DataFrame) -> DataFrame:
     """Pairs of a pattern and a template of its leaf that covers it by now.
 
-    For every set of wild positions used in the leaf, the pattern with these
-    positions blanked is looked up among the templates: an equi-join, not a
-    comparison with every template.
+    In leaves of few templates, the pattern is blanked at every set of wild positions in
+    use and looked up among the templates. These sets become more as the leaf grows, so a
+    large book is asked for parts instead: a template is filed under its largest half,
+    quarter or so that has no wildcard. A leaf has at most two parts for each position.
+    Patterns look into the parts in use by digest, and what is found there is compared as
+    a whole. The ``MASKS`` sets whose parts say least are looked up whole as before.
     """
     is_wild = F.transform(pattern_tokens(F.col("template")), lambda t: t == WILDCARD)
     templates = book.withColumnRenamed("pattern", "founding").withColumn("_mask", is_wild)
-    masks = templates.select("leaf", "_mask").distinct()
-    blanked = F.zip_with(
-        pattern_tokens(F.col("pattern")),
-        "_mask",
-        lambda t, wild: F.when(wild, WILDCARD).otherwise(t),
+    masks = templates.groupBy("leaf", "_mask").agg(F.count("*").alias("_n"))
+    sizes = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("_n").alias("n"))
+    most = sizes.agg(F.max("masks").alias("masks"), F.sum("n").alias("n")).first()
+    tokens = pattern_tokens(F.col("pattern"))
+    if (most["masks"] or 0) <= MASKS and (most["n"] or 0) <= SMALL_BOOK:
+        probes = patterns.join(masks.select("leaf", "_mask"), "leaf").withColumn(
+            "template", F.array_join(_blanked(tokens, F.col("_mask")), " ")
+        )
+        return probes.join(templates, ["leaf", "_mask", "template"]).drop("_mask", "template")
+
+    masks = masks.withColumn("_part", _fixed_part(F.col("_mask")))
+    vague = Window.partitionBy("leaf").orderBy("_part.size", F.desc("_n"), "_mask")
+    whole = F.when((F.col("_place") <= MASKS) & (F.col("_part.size") < F.size("_mask")), True)
+    slot = F.struct(
+        F.when(whole, 0).otherwise(F.col("_part.start")).alias("start"),
+        F.when(whole, 0).otherwise(F.col("_part.size")).alias("size"),
+        F.when(whole, F.col("_mask")).alias("mask"),
+    )
+    slots = masks.withColumn("_place", F.row_number().over(vague)).select(
+        "leaf", "_mask", slot.alias("_slot")
+    )
+    slots = materialise(slots, "slots")
+    filed = templates.select("leaf", "template_no", "template", "_mask").join(
+        slots, ["leaf", "_mask"]
+    )
+    filed = filed.select(
+        _slot_key(pattern_tokens(F.col("template"))).alias("_key"), "leaf", "template_no"
+    )
+    in_use = slots.groupBy("leaf").agg(F.collect_set("_slot").alias("_slots"))
+    known = patterns.withColumn("_id", F.xxhash64("pattern"))
+    probes = (
+        known.select("leaf", "_id", tokens.alias("_tokens"))
+        .join(in_use, "leaf")
+        .select("leaf", "_id", "_tokens", F.explode("_slots").alias("_slot"))
+        .select(_slot_key(F.col("_tokens")).alias("_key"), "_id")
     )
-    probes = patterns.join(masks, "leaf").withColumn("template", F.array_join(blanked, " "))
-    return probes.join(templates, ["leaf", "_mask", "template"]).drop("_mask", "template")
+    # once each, even if two patterns had one digest
+    found = probes.join(filed, "_key").select("leaf", "_id", "template_no")
+    found = found.repartition("leaf", "_id").distinct()
+    pairs = known.join(found, ["leaf", "_id"]).drop("_id")
+    pairs = pairs.join(templates, ["leaf", "template_no"])
+    return pairs.filter(
+        F.array_join(_blanked(tokens, F.col("_mask")), " ") == F.col("template")
+    ).drop("_mask", "template")
 
 
 def mine_book(
