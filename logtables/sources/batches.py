@@ -78,8 +78,11 @@ def checked_batches(batches: DataFrame, payload: str = "payload") -> DataFrame:
         _ENVELOPE,
         {"allowSingleQuotes": "false"},
     )
-    df = batches.withColumn("_read", read)
-    df = df.withColumn("_batch", F.when(F.size("_read") == 1, F.get("_read", F.lit(0))))
+    # Here and for the typed events, one inline() per batch keeps what was read: without it
+    # Catalyst would copy the reading into every later use and filter of it.
+    batch = F.when(F.size("_read") == 1, F.get("_read", F.lit(0))).alias("_batch")
+    df = batches.select("*", F.inline(F.array(F.struct(read.alias("_read")))))
+    df = df.select(*batches.columns, batch)
     events = F.coalesce(F.col("_batch.events"), F.array().cast(_event_array()))
 
     def typed(e: Column) -> Column:
@@ -92,7 +95,7 @@ def checked_batches(batches: DataFrame, payload: str = "payload") -> DataFrame:
             F.coalesce(e["fields"], F.create_map().cast("map<string,string>")).alias("fields"),
         )
 
-    df = df.withColumn("events", F.transform(events, typed))
+    df = df.select("*", F.inline(F.array(F.struct(F.transform(events, typed).alias("events")))))
     needed = ("ts", "level", "source", "message", "raw")
     incomplete = F.exists(
         "events", lambda e: F.greatest(*[e[c].isNull() for c in needed])
