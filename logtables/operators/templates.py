@@ -491,10 +491,11 @@ def tag_events(
 ) -> DataFrame:
     """Events with ``template_id`` set.
 
-    The ids go to the intervals, which are few; events are moved once.
+    The ids go to the intervals, which are few; these are written, so that their size is
+    known, and a few of them don't make Spark gather the events of a pattern in one task.
     """
     ids = described.select("leaf", "template_no", "template_id")
-    named = intervals.join(ids, ["leaf", "template_no"])
+    named = materialise(intervals.join(ids, ["leaf", "template_no"]), "named")
     tagged = assign_templates(events.drop("template_id"), named, **place)
     return tagged.drop("leaf", "template_no")
 
