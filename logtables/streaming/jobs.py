@@ -20,6 +20,8 @@ from logtables.sources.store import append_events
 from logtables.streaming.series import PROVIDER, ROCKS_DB, score_series
 from logtables.streaming.tables import StateTable, write_batch
 
+PARTS = "spark.sql.shuffle.partitions"
+
 # How far events may come behind the latest event time seen.
 DELAY = "10 minutes"
 
@@ -96,7 +98,9 @@ def watch_spikes(
     """Score every bucket as it closes, into the table ``path/scored``.
 
     The state is the open buckets and the last ``window`` closed ones of each series; a batch
-    reads nothing else, however long the stream has run.
+    reads nothing else, however long the stream has run. It is dealt into as many parts as
+    there are cores (or ``spark.sql.shuffle.partitions``, if less): every batch opens the
+    state of every part, twice, so more of them cost time without giving work.
     """
     buckets = closed_buckets(events, by, bucket_seconds, delay)
     scored = score_series(buckets, by, bucket_seconds, window, k, min_count)
@@ -104,12 +108,16 @@ def watch_spikes(
     if trigger:
         writer = writer.trigger(**trigger)
     conf = events.sparkSession.conf
-    before = conf.get(PROVIDER)
-    conf.set(PROVIDER, ROCKS_DB)  # a query keeps the settings of its start
+    parts = min(int(conf.get(PARTS)), events.sparkSession.sparkContext.defaultParallelism)
+    settings = {PROVIDER: ROCKS_DB, PARTS: str(parts)}
+    before = {key: conf.get(key) for key in settings}
+    for key, value in settings.items():
+        conf.set(key, value)  # a query keeps the settings of its start
     try:
         return writer.format("parquet").start(f"{path}/scored")
     finally:
-        conf.set(PROVIDER, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 _CHILDREN = "level int, leaf string, token string"
@@ -186,8 +194,9 @@ def _tag(
 
     home = ["leaf", "template_no"]
     named = book.select(*home, T.template_key(F.col("leaf"), F.col("pattern")).alias("template_key"))
-    # names and ids go to the intervals, which are few; events are moved once
+    # names and ids go to the intervals, which are few and, once written, of known size
     intervals = T.assignment_intervals(keyed, book).join(named, home).join(known, home)
+    intervals = materialise(intervals, "intervals")
     tagged = T.assign_templates(events.drop("template_id"), intervals, message, order, number)
     return tagged.drop(*home)
 
