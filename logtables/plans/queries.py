@@ -55,17 +55,22 @@ def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(
     spark: SparkSession, sf_dir: str, batches: int = 5, order: str = "ingest_ts"
 ) -> DataFrame:
-    """The sample lines as a stream of ``batches`` files, one a micro-batch, along ``order``."""
+    """The sample lines as a stream of ``batches`` micro-batches, along ``order``.
+
+    A micro-batch is a file for every core, so that all of them write and read it.
+    """
     path = scratch_path(spark, "stream")
     lines = views.logs(spark, sf_dir)
-    lines.repartitionByRange(batches, order).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    lines.repartitionByRange(batches * cores, order).write.parquet(path)
     # Files are taken by age; theirs follows the order of their lines.
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     storage = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [f.getPath() for f in storage.listStatus(folder)]
     for age, file in enumerate(sorted((f for f in found if "part-" in f.getName()), key=str)):
         storage.setTimes(file, 1_700_000_000_000 + 1000 * age, -1)
-    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", cores)
+    return stream.parquet(path)
 
 
 def _collected(spark: SparkSession, stream: DataFrame) -> DataFrame:
