@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, count, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +31,30 @@ SWITCH, CLIP = 8.0, 6.0
 RARE = 0.01
 #: Distinct words whose scores or counts a worker keeps.
 KNOWN_WORDS = 300_000
-#: Words that the labelling holds at once.
+#: Words that the labelling holds at once, and letters whose trigrams are hashed at once.
 BATCH_WORDS = 1_000_000
-
+BATCH_LETTERS = 1_000_000
 
 
 def _word_pattern() -> re.Pattern:
-    """A letter, then letters and the marks on them, by Unicode category; no number signs."""
+    """A letter, then letters and the marks on them, by Unicode category; no number signs.
+
+    A class up to U+FFFF is one lookup for ``re``, while ranges above are tried one by one;
+    so these have classes of their own, and only characters that are above meet them.
+    """
     kinds = "".join(unicodedata.category(chr(i))[0] for i in range(0x110000))
 
-    def ranges(kind: str) -> str:
-        spans = (m.span() for m in re.finditer(f"{kind}+", kinds))
-        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in spans)
+    def ranges(kind: str, first: int, last: int) -> str:
+        spans = (m.span() for m in re.finditer(f"{kind}+", kinds[first : last + 1]))
+        return "".join(f"\\U{first + a:08x}-\\U{first + b - 1:08x}" for a, b in spans)
 
-    return re.compile(f"[{ranges('L')}][{ranges('[LM]')}]*")
+    letters, marked = (ranges(kind, 0, 0xFFFF) for kind in ("L", "[LM]"))
+    high_letters, high_marked = (ranges(kind, 0x10000, 0x10FFFF) for kind in ("L", "[LM]"))
+    high = "\\U00010000-\\U0010ffff"
+    return re.compile(
+        f"[{letters}{high}](?:(?<![{high}])|(?<=[{high_letters}]))"
+        f"[{marked}]*(?:(?=[{high}])[{high_marked}]+[{marked}]*)*"
+    )
 
 
 _WORD = _word_pattern()
@@ -64,20 +74,49 @@ SCRIPTS = (
 )
 
 
-def script(word: str) -> int:
-    """Number of the script of the first letter; len(SCRIPTS) for any other."""
-    point = ord(word[0])
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def scripts(words: list[str]) -> np.ndarray:
+    """Numbers of the scripts of the first letters; len(SCRIPTS) for any other."""
+    points = _points("".join(word[0] for word in words))
+    out = np.full(len(points), len(SCRIPTS))
     for k, (_, first, last) in enumerate(SCRIPTS):
-        if first <= point <= last:
-            return k
-    return len(SCRIPTS)
+        out[(first <= points) & (points <= last)] = k
+    return out
 
 
 def slots(word: str) -> list[int]:
-    padded = f"^{word.lower()}$"
-    return [
-        xxhash.xxh3_64_intdigest(padded[i : i + 3]) % SLOTS for i in range(len(padded) - 2)
+    return slots_of([word])[0].tolist()
+
+
+def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the trigrams of all words, and how many each has; a trigram is hashed once."""
+    lowered = [word.lower() for word in words]
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+    points = _points(f"^{'$^'.join(lowered)}$").astype(np.uint64)
+    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    whole = np.ones(len(codes), bool)  # not over the end of a word
+    ends = np.cumsum(sizes + 2)[:-1]
+    whole[ends - 2] = whole[ends - 1] = False
+    grams, which = np.unique(codes[whole], return_inverse=True)
+    found = [
+        xxhash.xxh3_64_intdigest(chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF)) % SLOTS
+        for g in grams.tolist()
     ]
+    return np.array(found, np.int64)[which], sizes
+
+
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    """The words in parts of about BATCH_LETTERS letters."""
+    upto = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    first = 0
+    while first < len(words):
+        held = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, held + BATCH_LETTERS, side="right")))
+        yield words[first:last]
+        first = last
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +125,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
 
     def settle(lang: str) -> None:
-        grams, scripts = counts.setdefault(
+        grams, used = counts.setdefault(
             lang, [np.zeros(SLOTS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)]
         )
-        for word, n in words.pop(lang).items():
-            np.add.at(grams, slots(word), n)
-            scripts[script(word)] += n
+        seen = words.pop(lang)
+        for part in _parts(list(seen)):
+            times = np.fromiter(map(seen.__getitem__, part), np.int64, len(part))
+            found, sizes = slots_of(part)
+            grams += np.bincount(found, np.repeat(times, sizes), SLOTS).astype(np.int64)
+            used += np.bincount(scripts(part), times, len(used)).astype(np.int64)
 
     for batch in batches:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
@@ -117,60 +159,71 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     def __init__(self, langs: list[str], scores: np.ndarray, uses: np.ndarray):
         self.langs, self.scores, self.uses = langs, scores, uses
-        self.known: dict[str, int] = {}
-        self.table = np.empty((0, len(langs)), np.float32)
+        self.by_slot = np.ascontiguousarray(scores.T)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.table = np.empty((0, len(self.langs)), np.float32)
 
     def score(self, words: list[str]) -> np.ndarray:
         """What each word says for each language, the best at 0; no candidate far below."""
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, self.table, new = {}, self.table[:0], list(set(words))
-        if new:
-            grams = [slots(word) for word in new]
-            starts = np.cumsum([0, *map(len, grams[:-1])])
-            flat = np.fromiter((x for g in grams for x in g), np.int64)
-            raw = np.add.reduceat(self.scores.T[flat], starts, axis=0)
-            uses = self.uses[[script(word) for word in new]]
-            uses |= ~uses.any(axis=1, keepdims=True)
-            raw = np.where(uses, raw, -np.inf)
-            raw = np.maximum(raw - raw.max(axis=1, keepdims=True), -CLIP).astype(np.float32)
-            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, raw])
-        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.known, len(self.table), None))
+        self.table = np.concatenate([self.table, *map(self._score, _parts(new))])
+        found = self.table[at]
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        return found
+
+    def _score(self, words: list[str]) -> np.ndarray:
+        found, sizes = slots_of(words)
+        raw = np.add.reduceat(self.by_slot[found], np.cumsum(sizes) - sizes, axis=0)
+        uses = self.uses[scripts(words)]
+        uses |= ~uses.any(axis=1, keepdims=True)
+        raw = np.where(uses, raw, -np.inf)
+        return np.maximum(raw - raw.max(axis=1, keepdims=True), -CLIP).astype(np.float32)
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Languages of the words of each text, all texts going forward together."""
-        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-        lengths = np.array([len(texts[k]) for k in order])
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-        n = int((lengths > 0).sum())
+        """Languages of the words of each text."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        labels = self.label_words(list(chain.from_iterable(texts)), lengths)
+        ends = np.cumsum(lengths)
+        return [labels[a:b] for a, b in zip(ends - lengths, ends)]
+
+    def label_words(self, words: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Languages of the words of texts of these lengths, all texts going forward together.
+
+        From ``firsts[t]`` on come the words numbered t, those of the longest text first.
+        """
+        n, longest = len(words), int(lengths.max(initial=0))
         if not n:
-            return out
-        starts = np.r_[0, np.cumsum(lengths[:n])[:-1]]
-        flat = self.score([w for k in order[:n] for w in texts[k]])
-        lives = np.searchsorted(-lengths[:n], -np.arange(int(lengths[0])), side="left").tolist()
-        best = flat[starts].copy()
-        came = np.empty(flat.shape, np.int16)
-        stay = np.arange(len(self.langs))
-        for t in range(1, int(lengths[0])):
-            live = lives[t]  # texts longer than t
-            now = best[:live]
-            top = now.argmax(axis=1)
-            jump = now[np.arange(live), top] - SWITCH
-            moves = jump[:, None] > now
-            came[starts[:live] + t] = np.where(moves, top[:, None], stay)
-            best[:live] = np.where(moves, jump[:, None], now) + flat[starts[:live] + t]
-        last = best.argmax(axis=1)
-        labels = np.empty(len(flat), np.int64)
-        ends = starts + lengths[:n] - 1
-        labels[ends] = last
-        for t in range(1, int(lengths[0])):
-            live = lives[t]
-            at = ends[:live] - t
-            labels[at] = came[at + 1, labels[at + 1]]
-        for i in range(n):
-            out[order[i]] = labels[starts[i] : starts[i] + lengths[i]]
-        return out
+            return np.empty(0, np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        starts = np.cumsum(lengths) - lengths
+        lives = np.searchsorted(-lengths[order], -np.arange(longest), side="left")
+        firsts = np.r_[0, np.cumsum(lives)]
+        place = firsts[np.arange(n) - np.repeat(starts, lengths)] + np.repeat(rank, lengths)
+        best = np.empty((len(self.langs), n), np.float32)
+        best[:, place] = self.score(words).T
+        firsts = firsts.tolist()
+        for t in range(1, longest):
+            was, now = firsts[t - 1], slice(firsts[t], firsts[t + 1])
+            last = best[:, was : was + now.stop - now.start]
+            best[:, now] += np.maximum(last, last.max(axis=0) - SWITCH)
+        top, peak = np.zeros(n, np.int64), best[0].copy()
+        for k in range(1, len(best)):
+            top[best[k] > peak] = k
+            np.maximum(peak, best[k], out=peak)
+        moves = best < peak - SWITCH  # came from the top
+        labels, at = top.copy(), np.arange(n)
+        for t in range(longest - 1, 0, -1):
+            label = labels[firsts[t] : firsts[t + 1]]
+            was = slice(firsts[t - 1], firsts[t - 1] + len(label))
+            labels[was] = np.where(moves[label, at[was]], top[was], label)
+        return labels[place]
 
 
 def learn(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
@@ -192,11 +245,11 @@ def learn(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mo
     table = counted.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     grams = np.zeros((len(langs), SLOTS))
-    scripts = np.zeros((len(langs), len(SCRIPTS) + 1))
+    used = np.zeros((len(langs), len(SCRIPTS) + 1))
     for (lang, kind), part in table.groupby(["lang", "kind"]):
-        (grams, scripts)[kind][langs.index(lang), part["slot"]] = part["n"]
+        (grams, used)[kind][langs.index(lang), part["slot"]] = part["n"]
     scores = np.log((grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * SLOTS))
-    uses = (scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)).T >= RARE
+    uses = (used / np.maximum(used.sum(axis=1, keepdims=True), 1)).T >= RARE
     return Model(langs, scores.astype(np.float32), uses)
 
 
@@ -215,24 +268,23 @@ def _predict(shared, key: str, with_spans: bool):
         model = kept(("language", key), lambda: Model(*shared.value))
         langs = model.langs
 
-        def emit(rows: pa.RecordBatch, words: list[list[str]]) -> pa.RecordBatch:
-            preds, scores, found = [], [], []
-            labels = model.label(words) if langs else [None] * len(words)
-            for mine, label in zip(words, labels):
-                if not mine or not langs:
-                    preds.append("und")
-                    scores.append(0.0)
-                    found.append([])
-                    continue
-                sizes = np.fromiter(map(len, mine), np.float64, len(mine))
-                mass = np.bincount(label, sizes, len(langs))
-                preds.append(langs[int(mass.argmax())])
-                scores.append(float(mass.max() / mass.sum()))
-                found.append(
-                    [{"lang": a, "first": b, "words": c} for a, b, c in spans(label, mine, langs)]
-                    if with_spans
-                    else []
-                )
+        def emit(rows: pa.RecordBatch, words: list[str], lengths: np.ndarray) -> pa.RecordBatch:
+            n, some = len(lengths), lengths > 0
+            preds, scores = np.full(n, "und", object), np.zeros(n)
+            found: list[list[dict]] = [[] for _ in range(n)]
+            if words and langs:
+                labels = model.label_words(words, lengths)
+                sizes = np.fromiter(map(len, words), np.float64, len(words))
+                cells = np.repeat(np.arange(n), lengths) * len(langs) + labels
+                mass = np.bincount(cells, sizes, n * len(langs)).reshape(n, -1)[some]
+                preds[some] = np.array(langs, object)[mass.argmax(axis=1)]
+                scores[some] = mass.max(axis=1) / mass.sum(axis=1)
+                ends = np.cumsum(lengths).tolist()
+                for k, (a, b) in enumerate(zip([0, *ends], ends)) if with_spans else ():
+                    found[k] = [
+                        {"lang": lang, "first": first, "words": held}
+                        for lang, first, held in spans(labels[a:b], words[a:b], langs)
+                    ]
             kind = pa.list_(
                 pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())])
             )
@@ -244,15 +296,16 @@ def _predict(shared, key: str, with_spans: bool):
             )
 
         for batch in batches:
-            words, first, held = [], 0, 0
+            words, lengths, first = [], [], 0
             for k, text in enumerate(batch.column("text").to_pylist()):
-                words.append(_WORD.findall(text or ""))
-                held += len(words[-1])
-                if held >= BATCH_WORDS:
-                    yield emit(batch.slice(first, k + 1 - first), words)
-                    words, first, held = [], k + 1, 0
-            if words:
-                yield emit(batch.slice(first), words)
+                mine = _WORD.findall(text or "")
+                words += mine
+                lengths.append(len(mine))
+                if len(words) >= BATCH_WORDS:
+                    yield emit(batch.slice(first, k + 1 - first), words, np.array(lengths))
+                    words, lengths, first = [], [], k + 1
+            if lengths:
+                yield emit(batch.slice(first), words, np.array(lengths))
 
     return run
 

@@ -1,7 +1,17 @@
 """Cases that the operators once cut short."""
 
+import itertools
 import random
+import re
+import time
+import unicodedata
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from logtables.llm import jaccard_join, language_id, line_dedup, packing, quality
@@ -146,6 +156,125 @@ def test_letters_and_their_marks():
     assert language_id._WORD.findall("नमस्ते दुनिया a1é́") == ["नमस्ते", "दुनिया", "a", "é́"]
 
 
+ODD_WORDS = ["ΑΣ", "Σ", "İz", "ß", "中文字", "𝔘𝔫𝔦", "𞤀𞤁", "नमस्ते", "naïve", "ǅ", "o" * 3000, "a"]
+
+
+def plain_slots(word):
+    padded = f"^{word.lower()}$"
+    grams = (padded[i : i + 3] for i in range(len(padded) - 2))
+    return [xxhash.xxh3_64_intdigest(gram) % language_id.SLOTS for gram in grams]
+
+
+def test_words_go_by_category_on_every_plane():
+    rng, pools = random.Random(4), {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        kind = unicodedata.category(c)[0]
+        pools.setdefault((kind if kind in "LM" else "", c > "\uffff"), []).append(c)
+    pools = list(pools.values())
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 25)))
+        want = [""]
+        for c in text:
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or kind == "M" and want[-1]:
+                want[-1] += c
+            elif want[-1]:
+                want.append("")
+        assert language_id._WORD.findall(text) == [w for w in want if w]
+
+
+def test_words_cost_little_more_than_by_a_plain_class():
+    text = "an olé of 3 — ça va 😀 " * 20_000
+
+    def seconds(pattern):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            pattern.findall(text)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(language_id._WORD) < 4 * seconds(re.compile(r"[^\W\d_]+"))
+
+
+def test_a_trigram_is_hashed_once(monkeypatch):
+    hashed = []
+
+    def digest(gram):
+        hashed.append(gram)
+        return xxhash.xxh3_64_intdigest(gram)
+
+    monkeypatch.setattr(language_id, "xxhash", SimpleNamespace(xxh3_64_intdigest=digest))
+    scores = np.random.default_rng(1).normal(size=(2, language_id.SLOTS)).astype(np.float32)
+    model = language_id.Model(["a", "b"], scores, np.ones((len(language_id.SCRIPTS) + 1, 2), bool))
+    words = ["".join(w) for w in itertools.product("abcd", repeat=5)]
+    model.score(words)
+    assert len(hashed) == len(set(hashed)) == 4**3 + 2 * 4**2
+
+
+def test_slots_and_counts_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr(language_id, "BATCH_LETTERS", 7)
+    monkeypatch.setattr(language_id, "KNOWN_WORDS", 5)
+    flat, sizes = language_id.slots_of(ODD_WORDS)
+    assert sizes.tolist() == [len(plain_slots(w)) for w in ODD_WORDS]
+    assert flat.tolist() == [x for w in ODD_WORDS for x in plain_slots(w)]
+    rng = random.Random(6)
+    rows = [(rng.choice("xy"), rng.choices(ODD_WORDS, k=rng.randrange(9))) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(w) or None for _, w in rows], "lang": [k for k, _ in rows]})
+    got, want = Counter(), Counter()
+    for part in language_id._count(iter([batch.slice(0, 25), batch.slice(25)])):
+        for r in part.to_pylist():
+            got[r["lang"], r["kind"], r["slot"]] += r["n"]
+    for lang, words in rows:
+        want.update((lang, 0, x) for w in words for x in plain_slots(w))
+        for w in words:
+            fits = [k for k, (_, a, b) in enumerate(language_id.SCRIPTS) if a <= ord(w[0]) <= b]
+            want[lang, 1, (fits or [len(language_id.SCRIPTS)])[0]] += 1
+    assert got == want
+
+
+def test_texts_of_any_length_equal_plain_labels(spark, monkeypatch):
+    langs, kinds = ["a", "b", "c"], len(language_id.SCRIPTS) + 1
+    scores = np.random.default_rng(3).normal(0, 2, (3, language_id.SLOTS)).astype(np.float32)
+    uses = np.ones((kinds, 3), bool)
+    uses[0, 2] = False
+    rng = random.Random(9)
+    pool = ODD_WORDS + ["".join(rng.choices("abcdef", k=4)) for _ in range(60)]
+    texts = [rng.choices(pool, k=rng.choice([0, 1, 2, 3, 30, 200])) for _ in range(80)]
+    texts += texts[:9]
+    model = language_id.Model(langs, scores, uses)
+    docs = spark.createDataFrame(
+        [(i, " ".join(words) if i % 7 else f"7 {' '.join(words)}!") for i, words in enumerate(texts)] + [(None, None)],
+        "doc_id bigint, text string",
+    ).coalesce(2)
+    found = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert found[None][1:] == ("und", 0, [])
+    for i, words in enumerate(texts):
+        best, came, worth = np.zeros(3, np.float32), [], []
+        for word in words:
+            raw = scores[:, plain_slots(word)].sum(axis=1)
+            raw[~uses[language_id.scripts([word])[0]]] = -np.inf
+            worth.append(np.maximum(raw - raw.max(), -language_id.CLIP))
+            jump = best.max() - language_id.SWITCH
+            came.append([int(best.argmax()) if jump > best[k] else k for k in range(3)])
+            best = np.maximum(best, jump) + worth[-1]
+        path = [int(best.argmax())] if words else []
+        for back in reversed(came[1:]):
+            path.append(back[path[-1]])
+        mass = Counter()
+        for k, word in zip(reversed(path), words):
+            mass[langs[k]] += len(word)
+        want = [langs[k] for k in reversed(path)]
+        assert [x["lang"] for x in found[i]["spans"] for _ in range(x["words"])] == want
+        assert [x["first"] for x in found[i]["spans"]] == [t for t in range(len(want)) if not t or want[t] != want[t - 1]]
+        if words:
+            top = max(sorted(mass), key=mass.__getitem__)
+            assert found[i]["lang_pred"] == top
+            assert found[i]["score"] == pytest.approx(mass[top] / sum(mass.values()))
+        else:
+            assert found[i]["lang_pred"] == "und" and found[i]["score"] == 0
+
+
 def test_short_pieces_fill_their_sequences(spark):
     for length, n in ((1, 9000), (3, 3000), (10, 2000), (17, 1000), (31, 700)):
         pieces = spark.range(n).select(
