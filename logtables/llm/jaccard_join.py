@@ -29,11 +29,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtables.llm.links import components
-from logtables.scratch import materialise
+from logtables.scratch import forget, materialise, released
 
 #: Shingles of a block; a search task holds two blocks.
 BLOCK_SHINGLES = 400_000
@@ -281,30 +281,34 @@ def jaccard_classes(
         " sigs array<bigint>"
     )
     texts = docs.withColumn("text_key", F.xxhash64("text"))
-    sets = texts.mapInArrow(_sets(size, percent), schema)
-    sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-    reps = (
-        sets.filter("n_shingles > 0")
-        .groupBy("set_key")
-        .agg(
-            F.min("doc_id").alias("rep"),
-            F.min(F.struct("doc_id", "text_key")).alias("home"),
-            F.max("n_shingles").alias("n"),
-            F.max("short_key").alias("short_key"),
-            F.min("row").alias("row"),
+    signed = texts.mapInArrow(_sets(size, percent), schema)
+    with released(documents.sparkSession) as kept:
+        signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+        sets = kept(signed.select("doc_id", "text_key", "n_shingles", "set_key"), "sets")
+        reps = (
+            signed.filter("n_shingles > 0")
+            .groupBy("set_key")
+            .agg(
+                F.min("doc_id").alias("rep"),
+                F.min(F.struct("doc_id", "text_key")).alias("home"),
+                F.max("n_shingles").alias("n"),
+                F.max("short_key").alias("short_key"),
+                F.min("row").alias("row"),
+            )
         )
-    )
-    reps = materialise(reps, "reps")
-    edges = links(texts, sets, reps, size, percent, block)
-    classes = components(edges)
-    named = (
-        reps.join(classes, reps.set_key == classes.node, "left")
-        .select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
-    )
-    smallest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    of_set = named.join(smallest, "root").select(
-        "set_key", "class_id", F.col("root").alias("class_key")
-    )
+        reps = materialise(reps, "reps")
+        groups = _groups(signed, reps)
+        forget(signed)
+        classes = components(links(texts, groups, reps, size, percent, block))
+        named = (
+            reps.join(classes, reps.set_key == classes.node, "left")
+            .select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
+        )
+        smallest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+        of_set = named.join(smallest, "root").select(
+            "set_key", "class_id", F.col("root").alias("class_key")
+        )
+        of_set = kept(of_set, "classes")
     found = sets.join(of_set, "set_key", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id"))
     return found.select(
@@ -322,24 +326,35 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         F.struct("*").alias("document"),
         F.col("doc_id").alias("id"),
         F.xxhash64("text").alias("text_key"),
-        (F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") == "").alias("blank"),
     )
-    found = jaccard_classes(documents, size, percent)
+    found = jaccard_classes(documents, size, percent).filter("n_shingles > 0")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    first = (
-        found.filter("n_shingles > 0").groupBy("class_key").agg(F.min(place).alias("p")).select("p.*")
+    several = (
+        found.groupBy("class_key")
+        .agg(F.min(place).alias("first"), F.count("*").alias("rows"))
+        .filter("rows > 1")
     )
-    first = first.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
-    same = docs.id.eqNullSafe(first.first_id) & (docs.text_key == first.first_key)
-    stay = docs.filter("not blank").join(first.distinct(), same, "left_semi")
+    # Only what doesn't simply stay is written: documents pass this small table once.
+    marks = (
+        found.join(several, "class_key")
+        .groupBy("doc_id", "text_key")
+        .agg(F.count("*").alias("rows"), F.first(place == F.col("first")).alias("stays"))
+        .filter("rows > 1 or not stays")
+    )
+    marks = materialise(marks.toDF("mark_id", "mark_key", "rows", "stays"), "marks")
+    repeated = materialise(marks.filter("stays").select("mark_id", "mark_key"), "repeated")
+
+    def same(marked: DataFrame) -> Column:
+        return docs.id.eqNullSafe(marked.mark_id) & (docs.text_key == marked.mark_key)
+
+    rest = docs.join(marks, same(marks), "left_anti").select("document")
+    stay = docs.join(repeated, same(repeated), "left_semi")
     one = stay.groupBy("id", "text_key").agg(F.first("document").alias("document"))
-    return one.select("document").union(docs.filter("blank").select("document")).select("document.*")
+    return rest.union(one.select("document")).select("document.*")
 
 
-def links(
-    texts: DataFrame, sets: DataFrame, reps: DataFrame, size: int, percent: int, block: int
-) -> DataFrame:
-    """Links ``a``, ``b`` between set keys, enough to connect what all links connect.
+def _groups(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``node`` (the short key of a set) and ``root`` of sets that meet under a key.
 
     Each distinct set is met under its keys once, however many rows have it.
     """
@@ -352,7 +367,13 @@ def links(
     # One shuffle: who meets under a key meets the smallest one there.
     least = F.min("short_key").over(Window.partitionBy("sig"))
     meet = postings.withColumn("a", least).select("short_key", "a").filter("short_key <> a")
-    groups = materialise(components(meet.distinct(), "short_key", "a"), "groups")
+    return materialise(components(meet.distinct(), "short_key", "a"), "groups")
+
+
+def links(
+    texts: DataFrame, groups: DataFrame, reps: DataFrame, size: int, percent: int, block: int
+) -> DataFrame:
+    """Links ``a``, ``b`` between set keys, enough to connect what all links connect."""
     members = reps.join(groups, reps.short_key == groups.node)
     weight = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).alias("blocks"))
     placed = members.join(weight, "root").select(

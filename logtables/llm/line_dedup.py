@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtables.scratch import materialise
+from logtables.scratch import materialise, released
 
 #: Leading tokens that choose a leaf; documents that make a template recurring.
 DEPTH, MIN_DOCS = 3, 10
@@ -304,13 +304,15 @@ def drop_recurring(documents: DataFrame, keep_first: bool = True, **options) ->
     Lines shorter than ``min_words``, blank ones too, are never dropped. A null text stays
     null with no lines; an empty one is one line. Rows that repeat are treated alike.
     """
-    found = recurring_lines(documents.select("doc_id", "text"), **options)
-    if keep_first:
-        first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
-        found = found.filter(~first)
-    drops = found.groupBy("doc_id", "text_key").agg(
-        F.collect_set("line_no").alias("gone")
-    ).toDF("gone_id", "gone_key", "gone")
+    with released(documents.sparkSession) as kept:
+        found = recurring_lines(documents.select("doc_id", "text"), **options)
+        if keep_first:
+            first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (
+                F.col("text_key") == F.col("first_key")
+            )
+            found = found.filter(~first)
+        drops = found.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
+        drops = kept(drops.toDF("gone_id", "gone_key", "gone"), "drops")
     docs = documents.select(
         F.struct("*").alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")
     )

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtables.scratch import materialise
+from logtables.scratch import forget, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the smallest node it is linked with) for all nodes of ``edges``.
 
     Large-star and small-star steps by turns, each a grouped minimum and a join; the
-    links never leave the executors. Every round is a table in the shared folder.
+    links never leave the executors. Every round is a table in the shared folder, and the table
+    of the round before goes.
     Links with a null end, and links of a node with itself, say nothing and are left out;
     an empty table gives an empty one.
     """
@@ -29,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
-        now = materialise(_small_star(_large_star(now)), "links")
+        now, last = materialise(_small_star(_large_star(now)), "links"), now
+        forget(last)
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

@@ -5,31 +5,53 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files go at the end of the query that wrote them, not when the driver next
+#: collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _held = threading.local()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
+def released(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Delete what :func:`materialise` wrote inside, once the block is left.
 
-    For work whose result is stored elsewhere by then, such as a micro-batch.
+    For work whose result is stored elsewhere by then, such as a micro-batch. What is written
+    with the function that the block is given stays, as if written outside.
     """
     before = getattr(_held, "paths", None)
     _held.paths = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        if before is not None:
+            before.append(path)
+        return _written(df, path)
+
     try:
-        yield
+        yield kept
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _held.paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            folder.getFileSystem(conf).delete(folder, True)
-        _held.paths = before
+        paths, _held.paths = _held.paths, before
+        for path in paths:
+            _delete(spark, path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind ``df`` if :func:`materialise` wrote it; for a table that nothing
+    reads any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,5 +74,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     if getattr(_held, "paths", None) is not None:
         _held.paths.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
