@@ -22,6 +22,7 @@ founded and generalised, and per position the step at which it turned wild.
 
 from __future__ import annotations
 
+import functools
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from logtables.functions.text import WILDCARD, message_pattern, pattern_tokens
 from logtables.operators.numbering import numbered
-from logtables.scratch import materialise
+from logtables.scratch import forget, materialise, released
 
 # Tree depth, similarity needed to join a template, children per node.
 DEPTH = 4
@@ -48,6 +49,11 @@ REPLAY_CHUNK = 100_000
 MASKS = 16
 SMALL_BOOK = 20_000
 
+# Patterns look into a large book in passes of so many lookups for each of all patterns, or
+# of FEW lookups; a pass leaves its result only.
+LOOKUPS = 4
+FEW = 1_000_000
+
 _AT = "struct<epoch: bigint, ord: bigint, tie: bigint>"
 BOOK_SCHEMA = (
     "leaf string, template_no int, pattern string, template string, "
@@ -83,11 +89,18 @@ def _pattern(message: str) -> Column:
     return message_pattern(F.coalesce(F.col(message), F.lit("")))
 
 
-def _at(epoch: Column, order: Column) -> Column:
+def pattern_id(pattern: Column) -> Column:
+    """128 bits that stand for a pattern where its text needn't move; ``a`` breaks ties of order."""
+    return F.struct(
+        F.xxhash64(pattern).alias("a"), F.xxhash64(F.lit(1), pattern).alias("b")
+    )
+
+
+def _at(epoch: Column, order: Column, tie: Column | None = None) -> Column:
     return F.struct(
         epoch.cast("bigint").alias("epoch"),
         order.alias("ord"),
-        F.xxhash64("pattern").alias("tie"),
+        (F.xxhash64("pattern") if tie is None else tie).alias("tie"),
     )
 
 
@@ -149,18 +162,22 @@ def leaf_keys(
     appearance, further ones share the wildcard branch. The second frame lists
     the children newly kept, as ``level, leaf, token``.
     """
-    tokens = pattern_tokens(F.col("pattern"))
-    # of the tokens, only those on the way to a leaf are moved
-    keyed = patterns.withColumns(
-        {"leaf": F.size(tokens).cast("string"), "tokens": F.slice(tokens, 1, max(2, depth) - 2)}
+    tokens, levels = pattern_tokens(F.col("pattern")), max(2, depth) - 2
+    placed = patterns.withColumns(
+        {"_n": F.size(tokens).cast("string"), "_way": F.slice(tokens, 1, levels)}
     )
+    # The way to a leaf takes only leading tokens, so patterns move once, when all are known.
+    ways = placed.groupBy("_n", "_way").agg(F.min("at").alias("at"))
+    ways = ways.withColumns({"leaf": F.col("_n"), "tokens": F.col("_way")})
     kept = None
-    for level in range(max(2, depth) - 2):
-        keyed, children = _descend(keyed, level, max_children, known_children)
+    for level in range(levels):
+        ways, children = _descend(ways, level, max_children, known_children)
         kept = children if kept is None else kept.unionByName(children)
     if kept is None:
-        kept = keyed.select(F.lit(0).alias("level"), "leaf", F.lit("").alias("token")).limit(0)
-    return keyed.drop("tokens"), kept
+        kept = ways.select(F.lit(0).alias("level"), "leaf", F.lit("").alias("token")).limit(0)
+    ways = materialise(ways.select("_n", "_way", "leaf"), "ways")
+    keyed = placed.join(ways, ["_n", "_way"])
+    return keyed.select(*patterns.columns, "leaf"), kept
 
 
 class _Leaf:
@@ -179,8 +196,13 @@ class _Leaf:
         self.filed = 0
 
     def add(self, row: dict) -> None:
+        tokens = [
+            token if step is None else WILDCARD
+            for token, step in zip(row["pattern"].split(), row["wild"])
+        ]
+        row["template"] = " ".join(tokens)
         self.rows.append(row)
-        self.tokens.append(row["template"].split())
+        self.tokens.append(tokens)
 
     def _put(self, place: tuple[int, str], no: int) -> None:
         found = self.having.get(place)
@@ -222,7 +244,7 @@ class _Leaf:
                 self._generalise(no, tokens, at)
                 return
         row = {"leaf": self.name, "template_no": len(self.rows), "pattern": pattern}
-        self.add({**row, "template": pattern, "steps": [at], "wild": [None] * len(tokens)})
+        self.add({**row, "steps": [at], "wild": [None] * len(tokens)})
 
     def _generalise(self, no: int, tokens: list[str], at: dict) -> None:
         row, template = self.rows[no], self.tokens[no]
@@ -264,7 +286,8 @@ def _replayed(book: DataFrame, patterns: DataFrame, threshold: float) -> DataFra
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(book.schema)
-    rows = book.withColumn("at", F.get("steps", F.lit(0))).unionByName(
+    known = book.drop("template").withColumn("at", F.get("steps", F.lit(0)))
+    rows = known.unionByName(
         patterns.select("leaf", "pattern", "at"), allowMissingColumns=True
     )
     rows = rows.repartition("leaf").sortWithinPartitions(
@@ -273,6 +296,18 @@ def _replayed(book: DataFrame, patterns: DataFrame, threshold: float) -> DataFra
     return rows.mapInArrow(lambda batches: _replay(batches, threshold, schema), BOOK_SCHEMA)
 
 
+def _stored_book(book: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``book`` written once, and the table behind it: a template is its founding pattern but
+    for what turned wild, so its text isn't stored."""
+    stored = materialise(book.drop("template"), "templates")
+    tokens = F.zip_with(
+        pattern_tokens(F.col("pattern")),
+        "wild",
+        lambda token, step: F.when(step.isNull(), token).otherwise(WILDCARD),
+    )
+    return stored.withColumn("template", F.array_join(tokens, " ")).select(*book.columns), stored
+
+
 def _blanked(tokens: Column, mask: Column) -> Column:
     return F.zip_with(tokens, mask, lambda t, wild: F.when(wild, WILDCARD).otherwise(t))
 
@@ -307,26 +342,51 @@ def _fixed_part(mask: Column) -> Column:
     )
 
 
-def _slot_key(tokens: Column) -> Column:
-    """Digest of the tokens that ``_slot`` compares: those of a part, or those of a mask."""
-    start, size, mask = (F.col(f"_slot.{name}") for name in ("start", "size", "mask"))
-    return F.when(
-        mask.isNull(), F.xxhash64("leaf", start, size, F.slice(tokens, start, size))
-    ).otherwise(F.xxhash64("leaf", mask, _blanked(tokens, mask)))
+def _part_key(tokens: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64("leaf", start, size, F.slice(tokens, start, size))
+
+
+def _whole_key(tokens: Column, mask: Column) -> Column:
+    return F.xxhash64("leaf", mask, _blanked(tokens, mask))
 
 
 def coverings(patterns: DataFrame, book: DataFrame) -> DataFrame:
     """Pairs of a pattern and a template of its leaf that covers it by now.
 
+    ``leaf, pattern, pattern_id, template_no, since``.
+    """
+    named = patterns.select("leaf", "pattern", pattern_id(F.col("pattern")).alias("pattern_id"))
+    return named.join(_covered(patterns, book), ["leaf", "pattern_id"])
+
+
+def _covered(patterns: DataFrame, book: DataFrame) -> DataFrame:
+    """``leaf, pattern_id, template_no, since`` of the :func:`coverings`.
+
     In leaves of few templates, the pattern is blanked at every set of wild positions in
     use and looked up among the templates. These sets become more as the leaf grows, so a
     large book is asked for parts instead: a template is filed under its largest half,
     quarter or so that has no wildcard. A leaf has at most two parts for each position.
     Patterns look into the parts in use by digest, and what is found there is compared as
-    a whole. The ``MASKS`` sets whose parts say least are looked up whole as before.
+    a whole, by digests of 128 bits, so that the texts of templates never move and those of
+    patterns twice. The ``MASKS`` sets whose parts say least are looked up whole as before.
+    Patterns go in as many passes as their lookups need.
+
+    A template covers a pattern since the last of the positions they differ in turned wild.
     """
     is_wild = F.transform(pattern_tokens(F.col("template")), lambda t: t == WILDCARD)
-    templates = book.withColumnRenamed("pattern", "founding").withColumn("_mask", is_wild)
+    some = F.array_contains("_mask", True)
+    founding = pattern_tokens(F.col("pattern"))
+    was = F.zip_with(founding, "_mask", lambda t, wild: F.when(wild, t))
+    templates = book.withColumn("_mask", is_wild).select(
+        "leaf",
+        "template_no",
+        "template",
+        "_mask",
+        F.when(some, was).alias("was"),
+        "steps",
+        F.when(some, F.col("wild")).alias("wild"),
+    )
+    patterns = patterns.select("leaf", "pattern", pattern_id(F.col("pattern")).alias("pattern_id"))
     masks = templates.groupBy("leaf", "_mask").agg(F.count("*").alias("_n"))
     sizes = masks.groupBy("leaf").agg(F.count("*").alias("masks"), F.sum("_n").alias("n"))
     most = sizes.agg(F.max("masks").alias("masks"), F.sum("n").alias("n")).first()
@@ -335,7 +395,7 @@ def coverings(patterns: DataFrame, book: DataFrame) -> DataFrame:
         probes = patterns.join(masks.select("leaf", "_mask"), "leaf").withColumn(
             "template", F.array_join(_blanked(tokens, F.col("_mask")), " ")
         )
-        return probes.join(templates, ["leaf", "_mask", "template"]).drop("_mask", "template")
+        return _since(probes.join(templates, ["leaf", "_mask", "template"]))
 
     masks = masks.withColumn("_part", _fixed_part(F.col("_mask")))
     vague = Window.partitionBy("leaf").orderBy("_part.size", F.desc("_n"), "_mask")
@@ -349,28 +409,64 @@ def coverings(patterns: DataFrame, book: DataFrame) -> DataFrame:
         "leaf", "_mask", slot.alias("_slot")
     )
     slots = materialise(slots, "slots")
-    filed = templates.select("leaf", "template_no", "template", "_mask").join(
-        slots, ["leaf", "_mask"]
-    )
+    own, part = pattern_tokens(F.col("template")), _fixed_part(F.col("_mask"))
+    filed = templates.select("leaf", "template_no", "_mask", own.alias("_tokens"), part.alias("_part"))
     filed = filed.select(
-        _slot_key(pattern_tokens(F.col("template"))).alias("_key"), "leaf", "template_no"
+        "leaf",
+        "template_no",
+        "_mask",
+        _part_key(F.col("_tokens"), F.col("_part.start"), F.col("_part.size")).alias("_in_part"),
+        _whole_key(F.col("_tokens"), F.col("_mask")).alias("_whole"),
+    ).join(slots, ["leaf", "_mask"])
+    by_part = F.col("_slot.mask").isNull()
+    filed = filed.select(
+        F.when(by_part, F.col("_in_part")).otherwise(F.col("_whole")).alias("_key"),
+        "leaf",
+        "template_no",
     )
     in_use = slots.groupBy("leaf").agg(F.collect_set("_slot").alias("_slots"))
-    known = patterns.withColumn("_id", F.xxhash64("pattern"))
-    probes = (
-        known.select("leaf", "_id", tokens.alias("_tokens"))
-        .join(in_use, "leaf")
-        .select("leaf", "_id", "_tokens", F.explode("_slots").alias("_slot"))
-        .select(_slot_key(F.col("_tokens")).alias("_key"), "_id")
+    asking = patterns.groupBy("leaf").agg(F.count("*").alias("n")).join(in_use, "leaf")
+    asking = asking.agg(F.sum(F.col("n") * F.size("_slots")).alias("asked"), F.sum("n").alias("n"))
+    asking = asking.first()
+    passes = max(1, -(-(asking["asked"] or 0) // max(FEW, LOOKUPS * (asking["n"] or 0))))
+    key = _part_key(F.col("_tokens"), F.col("_slot.start"), F.col("_slot.size"))
+    key = F.when(by_part, key).otherwise(_whole_key(F.col("_tokens"), F.col("_slot.mask")))
+    blanked = F.array_join(_blanked(tokens, F.col("_mask")), " ")
+    covered = []
+    with released(patterns.sparkSession) as kept:
+        filed = materialise(filed, "filed")
+        whole = templates.withColumn("_whole", pattern_id(F.col("template"))).drop("template")
+        whole = materialise(whole, "whole")
+        for number in range(passes):
+            those = patterns.filter(F.pmod("pattern_id.b", F.lit(passes)) == number)
+            probes = (
+                those.join(in_use, "leaf")
+                .select(
+                    "leaf",
+                    F.col("pattern_id.a").alias("_id"),
+                    tokens.alias("_tokens"),
+                    F.explode("_slots").alias("_slot"),
+                )
+                .select(key.alias("_key"), "_id")
+            )
+            # once each, even if two keys or patterns had one digest
+            found = probes.join(filed, "_key").select("leaf", "_id", "template_no").distinct()
+            found = materialise(found, "found")
+            pairs = found.join(whole, ["leaf", "template_no"])
+            pairs = those.withColumn("_id", F.col("pattern_id.a")).join(pairs, ["leaf", "_id"])
+            pairs = _since(pairs.filter(pattern_id(blanked) == F.col("_whole")))
+            covered.append(kept(pairs, "covered"))
+            forget(found)
+    return functools.reduce(DataFrame.unionByName, covered)
+
+
+def _since(pairs: DataFrame) -> DataFrame:
+    differs = F.zip_with(
+        "was", pattern_tokens(F.col("pattern")), lambda a, b: a.isNotNull() & (a != b)
     )
-    # once each, even if two patterns had one digest
-    found = probes.join(filed, "_key").select("leaf", "_id", "template_no")
-    found = found.repartition("leaf", "_id").distinct()
-    pairs = known.join(found, ["leaf", "_id"]).drop("_id")
-    pairs = pairs.join(templates, ["leaf", "template_no"])
-    return pairs.filter(
-        F.array_join(_blanked(tokens, F.col("_mask")), " ") == F.col("template")
-    ).drop("_mask", "template")
+    step = F.array_max(F.zip_with(differs, "wild", lambda d, w: F.when(d, w)))
+    since = F.get("steps", F.coalesce(step, F.lit(0)))
+    return pairs.select("leaf", "pattern_id", "template_no", since.alias("since"))
 
 
 def mine_book(
@@ -384,29 +480,52 @@ def mine_book(
     Leaves are replayed in parallel. A leaf with more than ``chunk`` patterns goes
     in rounds: its first patterns are replayed, all others they cover are dropped
     by a distributed join, and only what is left enters the next round. A task never
-    replays more than ``chunk`` patterns of a leaf.
+    replays more than ``chunk`` patterns of a leaf. The tables of a round go when the next
+    one has its own.
     """
+    spark = keyed.sparkSession
     pending = keyed.select("leaf", "pattern", "at")
-    book = keyed.sparkSession.createDataFrame([], BOOK_SCHEMA) if known is None else known
-    finished = None
+    book = spark.createDataFrame([], BOOK_SCHEMA) if known is None else known
+    finished, own = [], []
+
+    def replayed(patterns: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return _stored_book(_replayed(of.select(*book.columns), patterns, sim_threshold))
+
     while True:
         sizes = pending.groupBy("leaf").agg(F.count("*").alias("_n"))
-        if known is not None or finished is not None:  # else there is no template yet
+        if known is not None or finished:  # else there is no template yet
             book = book.join(sizes.select("leaf"), "leaf", "left_semi").select(*book.columns)
         largest = sizes.agg(F.max("_n")).first()[0] or 0
-        last = largest <= chunk
-        if last:
-            head = pending
-        else:
-            head = numbered(pending, ["leaf"], ["at"], "_n").filter(F.col("_n") < chunk)
-        book = materialise(_replayed(book, head, sim_threshold), "templates")
-        if last:
-            return book if finished is None else finished.unionByName(book)
-        done = coverings(pending.select("leaf", "pattern"), book).select("pattern").distinct()
-        pending = materialise(pending.join(done, "pattern", "left_anti"), "pending")
+        if largest <= chunk:
+            finished.append(replayed(pending, book)[0])
+            break
+        # Leaves that one replay ends are done; of the others, the first patterns are replayed.
+        large = materialise(sizes.filter(F.col("_n") > chunk).select("leaf"), "large")
+        small = pending.join(large, "leaf", "left_anti")
+        finished.append(replayed(small, book.join(large, "leaf", "left_anti"))[0])
+        pending = pending.join(large, "leaf", "left_semi")
+        with released(spark) as kept:
+            places = numbered(pending.select("leaf", "at"), ["leaf"], ["at"], "_n")
+            cut = places.filter(F.col("_n") == chunk).select("leaf", F.col("at").alias("_cut"))
+            cut = kept(cut, "cut")
+        pending = pending.join(cut, "leaf")
+        head = pending.filter(F.col("at") < F.col("_cut")).select("leaf", "pattern", "at")
+        tail = pending.filter(F.col("at") >= F.col("_cut")).select("leaf", "pattern", "at")
+        book, stored = replayed(head, book.join(large, "leaf", "left_semi"))
+        with released(spark) as kept:
+            covered = _covered(tail.select("leaf", "pattern"), book).select("pattern_id")
+            covered = materialise(covered.distinct(), "covered")
+            left = tail.withColumn("pattern_id", pattern_id(F.col("pattern")))
+            left = left.join(covered, "pattern_id", "left_anti").select(*tail.columns)
+            pending = kept(left, "pending")
         through = book.join(pending.select("leaf").distinct(), "leaf", "left_anti")
-        through = through.select(*book.columns)
-        finished = through if finished is None else finished.unionByName(through)
+        finished.append(_stored_book(through.select(*book.columns))[0])
+        for table in (*own, large, cut):
+            forget(table)
+        own = [stored, pending]
+    for table in own:
+        forget(table)
+    return functools.reduce(DataFrame.unionByName, finished)
 
 
 def mine_templates(
@@ -417,8 +536,9 @@ def mine_templates(
     chunk: int = REPLAY_CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """Mine :func:`pattern_counts`; the patterns with their leaf, and the book."""
-    patterns = materialise(patterns, "patterns")
-    keyed = materialise(leaf_keys(patterns, depth, max_children)[0], "keyed")
+    with released(patterns.sparkSession) as kept:
+        patterns = materialise(patterns, "patterns")
+        keyed = kept(leaf_keys(patterns, depth, max_children)[0], "keyed")
     return keyed, mine_book(keyed, None, sim_threshold, chunk)
 
 
@@ -429,42 +549,32 @@ def template_key(leaf: Column, pattern: Column) -> Column:
 
 def describe_templates(book: DataFrame) -> DataFrame:
     """``template_id, template_key, template, tokens``; ids count up in order of creation."""
-    placed = book.select(
-        "leaf", "template_no", "pattern", "template", F.get("steps", F.lit(0)).alias("at")
-    )
-    return numbered(placed, [], ["at"], "template_id").select(
+    home = ["leaf", "template_no"]
+    places = book.select(*home, F.get("steps", F.lit(0)).alias("at"))
+    ids = numbered(places, [], ["at"], "template_id").select(*home, "template_id")
+    return book.join(ids, home).select(
         "template_id",
         template_key(F.col("leaf"), F.col("pattern")).alias("template_key"),
         "template",
         pattern_tokens(F.col("template")).alias("tokens"),
-        "leaf",
-        "template_no",
+        *home,
     )
 
 
 def assignment_intervals(keyed: DataFrame, book: DataFrame) -> DataFrame:
-    """``pattern, leaf, template_no, since, until``: where each pattern belongs, and when.
+    """``pattern_id, leaf, template_no, since, until``: where each pattern belongs, and when.
 
     A pattern belongs to the earliest template covering it. That changes only
-    when an earlier template comes to cover it too. A template covers a pattern
-    since the last of the positions they differ in turned wild.
+    when an earlier template comes to cover it too.
     """
-    differs = F.zip_with(
-        pattern_tokens(F.col("founding")), pattern_tokens(F.col("pattern")), lambda a, b: a != b
-    )
-    step = F.array_max(F.zip_with(differs, "wild", lambda d, w: F.when(d, w)))
-    since = F.get("steps", F.coalesce(step, F.lit(0)))
-    covered = coverings(keyed.select("leaf", "pattern"), book).select(
-        "pattern", "leaf", "template_no", since.alias("since")
-    )
-    by_time = Window.partitionBy("pattern").orderBy("since", "template_no")
+    covered = _covered(keyed.select("leaf", "pattern"), book)
+    by_time = Window.partitionBy("pattern_id").orderBy("since", "template_no")
     earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
     takes_over = covered.withColumn("_best", F.min("template_no").over(earlier)).filter(
         F.col("_best").isNull() | (F.col("template_no") < F.col("_best"))
     )
-    return takes_over.select(
-        "pattern", "leaf", "template_no", "since", F.lead("since").over(by_time).alias("until")
-    )
+    until = F.lead("since").over(by_time).alias("until")
+    return takes_over.select("pattern_id", "leaf", "template_no", "since", until)
 
 
 def assign_templates(
@@ -475,14 +585,18 @@ def assign_templates(
     epoch: int = 0,
 ) -> DataFrame:
     """Events with the ``leaf`` and ``template_no`` they belong to at their place."""
-    placed = events.withColumns(
-        {"pattern": _pattern(message), "_ord": order_number(order, events)}
+    placed = events.drop("pattern").withColumns(
+        {"_pattern_id": pattern_id(_pattern(message)), "_ord": order_number(order, events)}
     )
-    at = _at(F.lit(epoch), F.col("_ord"))
+    return _assigned(placed, intervals, epoch)
+
+
+def _assigned(placed: DataFrame, intervals: DataFrame, epoch: int = 0) -> DataFrame:
+    at = _at(F.lit(epoch), F.col("_ord"), F.col("_pattern_id.a"))
     here = (F.col("since") <= at) & (F.col("until").isNull() | (at < F.col("until")))
-    intervals = intervals.withColumnRenamed("pattern", "_pattern")
-    return placed.join(intervals, (F.col("pattern") == F.col("_pattern")) & here).drop(
-        "_pattern", "pattern", "_ord", "since", "until"
+    same = F.col("_pattern_id") == F.col("pattern_id")
+    return placed.join(intervals, same & here).drop(
+        "_pattern_id", "pattern_id", "_ord", "since", "until"
     )
 
 
@@ -512,18 +626,19 @@ def template_counts(
     A pattern that stayed with one template brings all its occurrences at once;
     only events of patterns that moved are looked at one by one.
     """
-    moved = intervals.filter("until is not null").select("pattern").distinct()
+    moved = intervals.filter("until is not null").select("pattern_id").distinct()
     home = ["leaf", "template_no"]
+    counts = keyed.select(pattern_id(F.col("pattern")).alias("pattern_id"), "count")
     settled = (
-        intervals.join(moved, "pattern", "left_anti")
-        .select("pattern", *home)
-        .join(keyed.select("pattern", "count"), "pattern")
-    )
-    loose = events.withColumn("pattern", _pattern(message))
-    loose = loose.join(moved, "pattern", "left_semi").drop("pattern")
-    single = assign_templates(loose, intervals, message, order).select(
-        *home, F.lit(1).cast("bigint").alias("count")
+        intervals.join(moved, "pattern_id", "left_anti")
+        .select("pattern_id", *home)
+        .join(counts, "pattern_id")
     )
+    loose = events.select(
+        pattern_id(_pattern(message)).alias("pattern_id"), order_number(order, events).alias("_ord")
+    ).join(moved, "pattern_id", "left_semi")
+    loose = loose.withColumnRenamed("pattern_id", "_pattern_id")
+    single = _assigned(loose, intervals).select(*home, F.lit(1).cast("bigint").alias("count"))
     return (
         settled.select(*home, "count")
         .unionByName(single.groupBy(*home).agg(F.sum("count").alias("count")))

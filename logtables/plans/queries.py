@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logtables.functions import ids, levels, text, times
 from logtables.operators import context, health, parse, search, spikes, templates
 from logtables.plans import views
-from logtables.scratch import materialise, scratch_path
+from logtables.scratch import forget, materialise, released, scratch_path
 from logtables.sources import batches, files, store
 from logtables.streaming import jobs
 
@@ -495,11 +495,16 @@ def mine_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ranked_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = materialise(_placed_lines(spark, sf_dir), "lines")
+    lines = _placed_lines(spark, sf_dir)
     counts = templates.pattern_counts(lines, order="place")
     keyed, book = templates.mine_templates(counts)
-    intervals = materialise(templates.assignment_intervals(keyed, book), "intervals")
-    counted = templates.template_counts(lines, keyed, intervals, order="place")
+    with released(spark) as kept:
+        intervals = kept(templates.assignment_intervals(keyed, book), "intervals")
+    with released(spark) as kept:
+        counted = templates.template_counts(lines, keyed, intervals, order="place")
+        counted = kept(counted, "counted")
+    forget(keyed)
+    forget(intervals)
     named = templates.describe_templates(book).drop("tokens")
     return (
         counted.join(named, ["leaf", "template_no"])
